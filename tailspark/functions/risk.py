@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .dist import normal_multipliers, t_multipliers
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it inside a lambda over elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def check_alpha(alpha: float) -> float:
     if not 0 < alpha < 0.5:
         raise ValueError(f"alpha must lie in (0, 0.5): {alpha}")
@@ -31,15 +36,19 @@ def var_es_student_t(sigma: Column, nu: float, alpha: float, mu: float = 0.0) ->
 def var_es_sample(sample: Column, alpha: float, least: int = 100) -> tuple[Column, Column]:
     """Of an array: linear-interpolated quantile, and the mean of what lies at it or below; null under `least` values."""
     check_alpha(alpha)
-    s = F.array_sort(F.filter(sample, lambda x: x.isNotNull() & ~F.isnan(x)))
-    at = (F.size(s) - 1) * F.lit(alpha)
-    low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
-    q = a + (b - a) * (at - low)
-    tail = F.filter(s, lambda x: x <= q)
-    mean = F.aggregate(tail, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(tail), F.lit(0))
-    enough = F.size(s) >= least
-    return F.when(enough, -q), F.when(enough, -mean)
+
+    def tail(s: Column, q: Column) -> Column:
+        below = F.filter(s, lambda x: x <= q)
+        return F.struct((-q).alias("var"), (-F.aggregate(below, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(below), F.lit(0))).alias("es"))
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(alpha)
+        low = F.floor(at).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return F.when(F.size(s) >= least, let(a + (b - a) * (at - low), lambda q: tail(s, q)))
+
+    both = let(F.array_sort(F.filter(sample, lambda x: x.isNotNull() & ~F.isnan(x))), of)
+    return both["var"], both["es"]
 
 
 def qlike(sigma2: Column, proxy: Column) -> Column:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.risk import let
 from .returns import by_date, forward_sum
 
 
@@ -42,9 +43,8 @@ def har_rows(returns: DataFrame, horizon: int) -> DataFrame:
 
 
 def population_variance(a: Column) -> Column:
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    return F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return let(mean, lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / F.size(a)
 
 
 def ewma_next(a: Column, lam: float = 0.94) -> Column:
@@ -54,9 +54,8 @@ def ewma_next(a: Column, lam: float = 0.94) -> Column:
 
 def garch_next(a: Column, omega: float, alpha: float, beta: float, gamma: float = 0.0) -> Column:
     """The filter's next variance in percent squared, for an array of decimal returns; floored at 1e-12."""
-    pct = F.transform(a, lambda x: x * 100)
     step = lambda s, x: F.greatest(omega + (alpha + F.when(x < 0, gamma).otherwise(0.0)) * x * x + beta * s, F.lit(1e-12))
-    return F.aggregate(pct, population_variance(pct), step)
+    return let(F.transform(a, lambda x: x * 100), lambda pct: F.aggregate(pct, population_variance(pct), step))
 
 
 def monotone(quantiles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, dates as text."""
     fix = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("string")}
-    return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
+    return df.select(*[fix[t](f"`{c}`").alias(c) if t in fix else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def prices(spark, d):
@@ -84,7 +85,13 @@ FZ = "-(CASE WHEN realized <= -var THEN 1 ELSE 0 END) * (var + realized) / (alph
 
 
 def forecasts(spark, d):
-    """The closed-form models at horizon 1 as column expressions: one window pass, no Python."""
+    """Two models at horizon 1 by the walk-forward kernels: many alphas share a window's sort there."""
+    cfg = WalkForward(window=W, horizons=(1,), alphas=ALPHAS)
+    return wf.forecasts(wf.walk_forward(returns(spark, d), ["ewma-rm", "historical"], cfg))
+
+
+def closed_forecasts(spark, d):
+    """The same as column expressions: one window pass, no Python."""
     r = returns(spark, d).withColumns({"rn": F.row_number().over(ret.by_date()), "l": win.window_array("r", W), "realized": ret.forward_sum(F.col("r"), 1)})
     r = r.filter(F.col("rn") >= W).withColumns({"s2": win.ewma_next(F.col("l")), "v0": win.population_variance(F.col("l"))})
     rows = []
@@ -105,9 +112,9 @@ FCD = f"{FCS}, fd AS (SELECT * FROM fc WHERE realized IS NOT NULL)"
 # ------------------------------------------------------------------ sources
 
 
-@query(f"WITH {PX} SELECT series, CAST(date AS VARCHAR) AS date, round(price, 4) AS price FROM px")
+@query(f"WITH {PX} SELECT series, CAST(date AS VARCHAR) AS date, round(price, 7) AS price FROM px")
 def s02_price_scan(spark, d):
-    return rounded(prices(spark, d), 4)
+    return rounded(prices(spark, d), 7)
 
 
 @query("SELECT * FROM (VALUES ('equity_index', 'A', 'first'), ('equity_index', 'B', 'second'), ('fx', 'N', NULL)) t(asset_class, series, name)")
@@ -178,7 +185,7 @@ def p06_p07_slices(spark, d):
     return rounded(f.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("var").alias("var")))
 
 
-@query(f"{FCD} SELECT series, model, alpha, sum(CASE WHEN realized < -var THEN 1 ELSE 0 END) AS breaches FROM fd GROUP BY 1, 2, 3")
+@query(f"{FCD} SELECT series, model, alpha, CAST(sum(CASE WHEN realized < -var THEN 1 ELSE 0 END) AS BIGINT) AS breaches FROM fd GROUP BY 1, 2, 3")
 def p08_breaches(spark, d):
     return bt.hits(done(spark, d)).groupBy("series", "model", "alpha").agg(F.sum("hit").alias("breaches"))
 
@@ -311,7 +318,7 @@ _T5 = {a: t_multipliers(5.0, a) for a in ALPHAS}
 
 @query(f"{BASE}, {WN} " + " UNION ALL ".join(f"SELECT series, CAST(date AS VARCHAR) AS origin, {a}::DOUBLE AS alpha, round(sqrt(s2) * {_K[j][0]!r}::DOUBLE, 6) AS nv, round(sqrt(s2) * {_K[j][1]!r}::DOUBLE, 6) AS ne, round(sqrt(s2) * {_T5[a][0]!r}::DOUBLE, 6) AS tv, round(sqrt(s2) * {_T5[a][1]!r}::DOUBLE, 6) AS te FROM wo" for j, a in enumerate(ALPHAS)))
 def f01_f02_parametric(spark, d):
-    f = forecasts(spark, d).filter("model = 'ewma-rm'")
+    f = closed_forecasts(spark, d).filter("model = 'ewma-rm'")
     out = None
     for a in ALPHAS:
         (nv, ne), (tv, te) = risk.var_es_normal(F.sqrt("sigma2"), a), risk.var_es_student_t(F.sqrt("sigma2"), 5.0, a)
@@ -322,7 +329,7 @@ def f01_f02_parametric(spark, d):
 
 @query(f"{FCS} SELECT series, CAST(origin AS VARCHAR) AS origin, alpha, round(sigma2, 6) AS sigma2, round(var, 6) AS var, round(es, 6) AS es FROM fc WHERE model = 'historical'")
 def m01_f03_historical(spark, d):
-    return rounded(forecasts(spark, d).filter("model = 'historical'").select("series", "origin", "alpha", "sigma2", "var", "es"))
+    return rounded(closed_forecasts(spark, d).filter("model = 'historical'").select("series", "origin", "alpha", "sigma2", "var", "es"))
 
 
 @query(f"""{BASE}, s AS (SELECT series, date, rn, CASE WHEN rn >= 5 THEN sum(r) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS s FROM rt),
@@ -357,7 +364,7 @@ def f10_implied_nu(spark, d):
 @query()
 def f11_fitted_nu(spark, d):
     @F.pandas_udf("double")
-    def nu(z):
+    def nu(z: pd.Series) -> float:
         return fit_t_nu(z.to_numpy() / z.std(ddof=0))
 
     r = returns(spark, d)
@@ -395,9 +402,9 @@ def f09_central_scale(spark, d):
 
 
 @query(f"""{QNS}, b AS (SELECT *, lead(level) OVER g AS l2, lead(quantile) OVER g AS q2 FROM qn WHERE day = 1 WINDOW g AS (PARTITION BY series, origin ORDER BY level)),
-c AS (SELECT *, quantile + (q2 - quantile) * (0.05 - level) / (l2 - level) AS at FROM b)
-SELECT series, CAST(origin AS VARCHAR) AS origin, round(-max(CASE WHEN level <= 0.05 AND l2 > 0.05 THEN at END), 6) AS var,
-round(-(sum(CASE WHEN l2 <= 0.05 THEN (quantile + q2) / 2 * (l2 - level) WHEN level <= 0.05 THEN (quantile + at) / 2 * (0.05 - level) ELSE 0 END) + min(level) * arg_min(quantile, level)) / 0.05, 6) AS es FROM c GROUP BY series, origin""")
+c AS (SELECT *, quantile + (q2 - quantile) * (0.05 - level) / (l2 - level) AS mid FROM b)
+SELECT series, CAST(origin AS VARCHAR) AS origin, round(-max(CASE WHEN level <= 0.05 AND l2 > 0.05 THEN mid END), 6) AS var,
+round(-(sum(CASE WHEN l2 <= 0.05 THEN (quantile + q2) / 2 * (l2 - level) WHEN level <= 0.05 THEN (quantile + mid) / 2 * (0.05 - level) ELSE 0 END) + min(level) * arg_min(quantile, level)) / 0.05, 6) AS es FROM c GROUP BY series, origin""")
 def f04_m09_from_quantiles(spark, d):
     return rounded(qt.from_quantiles(quantiles(spark, d).filter("day = 1"), 0.05).select("series", "origin", "var", "es"))
 
@@ -458,13 +465,13 @@ _H = f"{FCD}, hh AS (SELECT *, CASE WHEN realized < -var THEN 1 ELSE 0 END AS hi
 _CELL = "series, model, horizon, alpha"
 
 
-@query(f"""{_H}, g AS (SELECT {_CELL}, count(*) AS n, sum(hit) AS x FROM hh GROUP BY ALL) SELECT {_CELL}, n AS n_obs, x AS n_breaches,
+@query(f"""{_H}, g AS (SELECT {_CELL}, count(*) AS n, CAST(sum(hit) AS BIGINT) AS x FROM hh GROUP BY ALL) SELECT {_CELL}, n AS n_obs, x AS n_breaches,
 round(-2 * ((n - x) * ln(1 - alpha) + x * ln(alpha) - CASE WHEN x = 0 OR x = n THEN 0 ELSE (n - x) * ln(1 - x / n) + x * ln(x / n) END), 6) + 0.0 AS statistic FROM g""")
 def b02_kupiec(spark, d):
     return rounded(bt.kupiec(bt.hits(done(spark, d))))
 
 
-_TR = f"{_H}, pr AS (SELECT *, lag(hit) OVER (PARTITION BY {_CELL} ORDER BY origin) AS b FROM hh), tr AS (SELECT {_CELL}, count(*) AS n_obs, sum(hit) AS n_breaches, " + ", ".join(f"count(*) FILTER (b = {a} AND hit = {b}) AS n{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM pr GROUP BY ALL)"
+_TR = f"{_H}, pr AS (SELECT *, lag(hit) OVER (PARTITION BY {_CELL} ORDER BY origin) AS b FROM hh), tr AS (SELECT {_CELL}, count(*) AS n_obs, CAST(sum(hit) AS BIGINT) AS n_breaches, " + ", ".join(f"count(*) FILTER (b = {a} AND hit = {b}) AS n{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM pr GROUP BY ALL)"
 _L = lambda p: f"ln(least(greatest({p}, 1e-12), 1.0))"
 _IND = f"{_TR}, pp AS (SELECT *, n01 / greatest(n00 + n01, 1) AS p0, n11 / greatest(n10 + n11, 1) AS p1, (n01 + n11) / greatest(n00 + n01 + n10 + n11, 1) AS p FROM tr), st AS (SELECT *, -2 * ((n00 + n10) * {_L('1 - p')} + (n01 + n11) * {_L('p')} - n00 * {_L('1 - p0')} - n01 * {_L('p0')} - n10 * {_L('1 - p1')} - n11 * {_L('p1')}) AS statistic FROM pp)"
 
@@ -493,7 +500,7 @@ def b05_dynamic_quantile(spark, d):
     return bt.dynamic_quantile(bt.hits(done(spark, d)))
 
 
-@query(f"{_H} SELECT {_CELL}, count(*) AS n_obs, sum(hit) AS n_breaches, round(sum(realized * hit / es) / (count(*) * alpha) + 1, 6) + 0.0 AS statistic FROM hh GROUP BY ALL")
+@query(f"{_H} SELECT {_CELL}, count(*) AS n_obs, CAST(sum(hit) AS BIGINT) AS n_breaches, round(sum(realized * hit / es) / (count(*) * alpha) + 1, 6) + 0.0 AS statistic FROM hh GROUP BY series, model, horizon, alpha")
 def b06_z2(spark, d):
     return rounded(bt.z2(bt.hits(done(spark, d))))
 
