@@ -104,6 +104,7 @@ def _fit(w: np.ndarray, asymmetric: bool, student: bool, steps: int) -> dict[str
         y, g = gradient(u)
         h = np.broadcast_to(np.eye(k), (*u.shape, k)).copy()
         sizes = 2.0 ** -np.arange(0, 12, 2)
+        done = np.zeros(u.shape[:2], bool)  # each window stops by itself, so no window's result depends on another's
         for _ in range(steps):
             d = -np.einsum("...ij,...j->...i", h, g)
             slope = (d * g).sum(-1)
@@ -117,8 +118,9 @@ def _fit(w: np.ndarray, asymmetric: bool, student: bool, steps: int) -> dict[str
             good = values <= y + 1e-4 * sizes[:, None, None] * slope
             pick = np.where(good.any(0), good.argmax(0), values.argmin(0))
             value = np.take_along_axis(values, pick[None], 0)[0]
-            step = np.where((value < y)[..., None], sizes[pick][..., None] * d, 0)
-            if np.abs(step).max() < 1e-7:
+            step = np.where(((value < y) & ~done)[..., None], sizes[pick][..., None] * d, 0)
+            done |= np.abs(step).max(-1) < 1e-7
+            if done.all():
                 break
             u = u + step
             y2, g2 = gradient(u)
@@ -128,10 +130,8 @@ def _fit(w: np.ndarray, asymmetric: bool, student: bool, steps: int) -> dict[str
             rho = np.where(ok, 1 / np.where(ok, sy, 1), 0)[..., None, None]
             left = np.eye(k) - rho * step[..., :, None] * dy[..., None, :]
             h = np.where(ok[..., None, None], left @ h @ np.swapaxes(left, -1, -2) + rho * step[..., :, None] * step[..., None, :], h)
-            small = np.abs(y - y2).max() < 1e-11
+            done |= np.abs(y - y2) < 1e-11
             y, g = y2, g2
-            if small:
-                break
         return u, y, g
 
     u, y, _ = bfgs(f.start(), 8)

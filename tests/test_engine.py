@@ -79,8 +79,8 @@ def test_no_lookahead(spark):
     models = ["historical", "ewma-rm", "har-proxy", "garch11-n", "fhs-ewma"]
     cut = date(2015, 1, 1) + timedelta(days=359)
     a, b = (wf.forecasts(wf.walk_forward(panel(spark, x), models, cfg)).filter(F.col("origin") <= F.lit(cut)).drop("realized").orderBy("model", "origin", "horizon", "alpha").toPandas() for x in (r, changed))
-    assert len(a) == 60 * 5 * 4
-    assert np.allclose(a[["sigma2", "var", "es"]].astype(float), b[["sigma2", "var", "es"]].astype(float), rtol=1e-4)
+    assert len(a) == 61 * 5 * 4
+    assert np.allclose(a[["sigma2", "var", "es"]].astype(float), b[["sigma2", "var", "es"]].astype(float), rtol=1e-9)
 
 
 def test_repeated_dates_raise(spark):
