@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +63,13 @@ class ToxicityModel:
         docs, y = [docs[i] for i in keep], y[keep]
         ids: dict[str, int] = {}
         tokens = np.array([ids.setdefault(w, len(ids)) for d in docs for w in d], np.int32)
-        grams = [subwords(w) for w in ids]
-        glen = np.array([len(g) for g in grams])
-        flat = np.fromiter((x for g in grams for x in g), np.int32, int(glen.sum()))
-        del grams, ids
+        packed, sizes = array("i"), array("i")
+        for word in ids:
+            g = subwords(word)
+            packed.extend(g)
+            sizes.append(len(g))
+        flat, glen = np.array(packed, np.int32), np.array(sizes, np.int64)
+        del packed, sizes, ids
         of = np.repeat(np.arange(len(glen), dtype=np.int32), glen)
         often = np.bincount(flat, np.bincount(tokens, minlength=len(glen))[of], BUCKETS) >= max(least, len(docs) // 400)
         flat, of = flat[often[flat]], of[often[flat]]  # n-grams seen less often keep the weight 0: they would only learn single documents
