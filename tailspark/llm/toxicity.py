@@ -58,11 +58,16 @@ class ToxicityModel:
         y = np.array(labels, float)
         if not len(y) or y.min() == y.max():
             return cls(np.zeros(BUCKETS), 8.0 if len(y) and y[0] else -8.0)
-        docs = [words_of(t.lower()) for t in texts]
-        keep = [i for i, d in enumerate(docs) if d]
-        docs, y = [docs[i] for i in keep], y[keep]
         ids: dict[str, int] = {}
-        tokens = np.array([ids.setdefault(w, len(ids)) for d in docs for w in d], np.int32)
+        packed, counts = array("i"), []
+        for t in texts:  # text by text, so that no list of all words is held
+            words = words_of((t or "").lower())
+            packed.extend([ids.setdefault(w, len(ids)) for w in words])
+            counts.append(len(words))
+        tokens, dlen = np.array(packed, np.int32), np.array(counts)
+        y, dlen = y[dlen > 0], dlen[dlen > 0]
+        if not len(y) or y.min() == y.max():
+            return cls(np.zeros(BUCKETS), 8.0 if len(y) and y[0] else -8.0)
         packed, sizes = array("i"), array("i")
         for word in ids:
             g = subwords(word)
@@ -71,9 +76,8 @@ class ToxicityModel:
         flat, glen = np.array(packed, np.int32), np.array(sizes, np.int64)
         del packed, sizes, ids
         of = np.repeat(np.arange(len(glen), dtype=np.int32), glen)
-        often = np.bincount(flat, np.bincount(tokens, minlength=len(glen))[of], BUCKETS) >= max(least, len(docs) // 400)
+        often = np.bincount(flat, np.bincount(tokens, minlength=len(glen))[of], BUCKETS) >= max(least, len(y) // 400)
         flat, of = flat[often[flat]], of[often[flat]]  # n-grams seen less often keep the weight 0: they would only learn single documents
-        dlen = np.array([len(d) for d in docs])
         wcount = -(-dlen // WINDOW)
         wlen = np.concatenate([np.r_[np.full(c - 1, WINDOW), n - (c - 1) * WINDOW] for n, c in zip(dlen, wcount, strict=True)])
         wstart, dstart = np.concatenate([[0], np.cumsum(wlen)[:-1]]), np.concatenate([[0], np.cumsum(wcount)[:-1]])
@@ -124,7 +128,7 @@ class ToxicityModel:
         return score
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 2000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1500) -> ToxicityModel:
     """Train on at most `most` rows labelled 1 and twice as many labelled 0 (those with the smallest hash of their id), never held-out ones.
 
     Labels other than 0 and 1 are left out; of ids labelled twice the larger label counts.
