@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     member = family.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a repeated id with other texts keeps each of them in the family
-    held = texts.join(member.select("id", "family", "blocks", "own"), "id").dropDuplicates(["id", "text"])
+    held = texts.join(member.select("id", "family", "blocks", "own").hint("merge"), "id").dropDuplicates(["id", "text"])
     dealt = held.select("id", "text", "family", pair.alias("p")).select("id", "text", "family", "p.*")
     links = dealt.groupBy("family", "a", "b").applyInArrow(_verify, "src long, dst long")
     label = connected_components(save(links, "omh-links"))
@@ -195,4 +195,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their class, with all columns."""
     gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(save(gone, "omh-gone"), id_col, "left_anti").select(docs.columns)
+    return docs.join(save(gone, "omh-gone").hint("merge"), id_col, "left_anti").select(docs.columns)
