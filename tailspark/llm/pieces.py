@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from itertools import count
 
 import numpy as np
@@ -46,6 +47,8 @@ class Pieces:
             self.score[p] = -math.log(rank + 2)
         self.byte_score = -math.log(len(self.id) + 2) - 2.0
         self.longest = max(map(len, self.score))
+        #: Score of each piece, -inf for other ends of pieces: a run of characters that isn't here is no end of any piece.
+        self.tail = dict.fromkeys((p[i:] for p in self.score for i in range(1, len(p))), -math.inf) | self.score
         self.is_byte = set(self.byte_id)
 
     def edges(self, word: str, end: int):
@@ -63,36 +66,35 @@ class Pieces:
 
     def spell(self, word: str, start: int, end: int) -> list[int]:
         p = word[start:end]
-        if MARK not in word[max(1, start) : end] and p in self.id:
-            return [self.id[p]]
+        i = self.id.get(p)
+        if i is not None and MARK not in word[max(1, start) : end]:
+            return [i]
         return [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
 
     def forward(self, word: str) -> tuple[list[float], list[int], float]:
         """Best score of each prefix, where its last piece starts, and how far the second best segmentation falls behind."""
         best, back, second = [0.0], [0], [math.inf]
-        score, longest = self.score, self.longest
+        tail, byte_score = self.tail.get, self.byte_score
         plain = MARK not in word[1:]
         for end in range(1, len(word) + 1):
-            top, at, gap = -math.inf, -1, math.inf
-            if plain:
-                lone = True
-                for start in range(end - longest if end > longest else 0, end):
-                    s = score.get(word[start:end])
-                    if s is not None:
-                        if start == end - 1:
-                            lone = False
-                        s += best[start]
-                        if s > top:
-                            gap, top, at = s - top, s, start
-                        elif top - s < gap:
-                            gap = top - s
-                if lone:
-                    s = best[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass")) * self.byte_score
-                    if s > top:
-                        gap, top, at = s - top, s, end - 1
+            if plain:  # starts go down, the leftmost wins a tie
+                at = end - 1
+                s = tail(word[at])
+                lone = s is None or s == -math.inf
+                top = best[at] + (len(word[at].encode("utf-8", "surrogatepass")) * byte_score if lone else s)
+                gap, start = math.inf, at if s is not None else 0
+                while start > 0:
+                    start -= 1
+                    s = tail(word[start:end])
+                    if s is None:
+                        break
+                    s += best[start]
+                    if s >= top:
+                        gap, top, at = s - top, s, start
                     elif top - s < gap:
                         gap = top - s
             else:
+                top, at, gap = -math.inf, -1, math.inf
                 for start, s, _ in self.edges(word, end):
                     s += best[start]
                     if s > top:
@@ -115,8 +117,10 @@ class Pieces:
         while end > 0:
             cuts.append((back[end], end))
             end = back[end]
-        ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
-        return np.array(ids, np.int32).tobytes(), best[-1], gap
+        ids = [self.id.get(word[a:b]) for a, b in reversed(cuts)]
+        if None in ids or MARK in word[1:]:
+            ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
+        return array("i", ids).tobytes(), best[-1], gap
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations: A* backward from the end, in which the forward scores are exact, so each pop is final."""
@@ -255,29 +259,30 @@ class TokenTrie:
         word = MARK + word
         if len(self.best) > self.cap:
             self.reset()
-        child, best, taken, score, longest = self.child, self.best, self.taken, self.pieces.score, self.pieces.longest
+        child, best, taken, tail = self.child, self.best, self.taken, self.pieces.tail.get
         path, node = [0], 0
         plain = MARK not in word[1:]
         for end in range(1, len(word) + 1):
             key = (node, word[end - 1])
             to = child.get(key)
             if to is None:
-                top, n, lone = -math.inf, 0, True
-                if plain:
-                    for start in range(end - longest if end > longest else 0, end):
-                        s = score.get(word[start:end])
-                        if s is not None:
-                            if start == end - 1:
-                                lone = False
-                            s += best[path[start]]
-                            if s > top:
-                                top, n = s, taken[path[start]] + 1
-                    if lone:
-                        size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                        s = best[path[end - 1]] + size * self.pieces.byte_score
-                        if s > top:
-                            top, n = s, taken[path[end - 1]] + size
+                if plain:  # starts go down, the leftmost wins a tie
+                    start = end - 1
+                    s = tail(word[start])
+                    lone = s is None or s == -math.inf
+                    size = len(word[start].encode("utf-8", "surrogatepass")) if lone else 1
+                    top, n = best[path[start]] + (size * self.pieces.byte_score if lone else s), taken[path[start]] + size
+                    start = start if s is not None else 0
+                    while start > 0:
+                        start -= 1
+                        s = tail(word[start:end])
+                        if s is None:
+                            break
+                        s += best[path[start]]
+                        if s >= top:
+                            top, n = s, taken[path[start]] + 1
                 else:
+                    top, n = -math.inf, 0
                     for start, s, size in self.pieces.edges(word, end):
                         s += best[path[start]]
                         if s > top:
