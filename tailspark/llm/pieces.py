@@ -71,8 +71,8 @@ class Pieces:
             return [i]
         return [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
 
-    def forward(self, word: str) -> tuple[list[float], list[int], float]:
-        """Best score of each prefix, where its last piece starts, and how far the second best segmentation falls behind."""
+    def forward(self, word: str) -> tuple[list[float], list[int], list[float]]:
+        """Best score of each prefix, where its last piece starts, and how far another last piece falls behind."""
         best, back, second = [0.0], [0], [math.inf]
         tail, byte_score = self.tail.get, self.byte_score
         plain = MARK not in word[1:]
@@ -104,20 +104,21 @@ class Pieces:
             best.append(top)
             back.append(at)
             second.append(gap)
-        end, least = len(word), math.inf
-        while end > 0:
-            least = min(least, second[end])
-            end = back[end]
-        return best, back, least
+        return best, back, second
 
     def best(self, word: str) -> tuple[bytes, float, float]:
         """Ids of the best segmentation as int32 bytes, its score, and the second best one's distance."""
-        best, back, gap = self.forward(word)
-        cuts, end = [], len(word)
+        best, back, second = self.forward(word)
+        ids, end, gap, find = [], len(word), math.inf, self.id.get
+        cuts = []
         while end > 0:
-            cuts.append((back[end], end))
-            end = back[end]
-        ids = [self.id.get(word[a:b]) for a, b in reversed(cuts)]
+            start = back[end]
+            cuts.append((start, end))
+            ids.append(find(word[start:end]))
+            if second[end] < gap:
+                gap = second[end]
+            end = start
+        ids.reverse()
         if None in ids or MARK in word[1:]:
             ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
         return array("i", ids).tobytes(), best[-1], gap
@@ -163,7 +164,7 @@ class Pieces:
 class Encoder:
     """Encodes texts word by word; words' results are kept in a bounded memo."""
 
-    def __init__(self, pieces: Pieces, n: int = 4, cap: int = 150_000):
+    def __init__(self, pieces: Pieces, n: int = 4, cap: int = 400_000):
         self.pieces, self.n = pieces, n
         self.memo = TwoGenerations(lambda w: pieces.best(MARK + w), cap)
         self.more = TwoGenerations(lambda w: pieces.n_best(MARK + w, n), 2_000)
