@@ -9,13 +9,16 @@ every text exactly, a literal U+2581 included (it is spelt in bytes).
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
 from array import array
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,9 @@ class Pieces:
         #: Score of each piece, -inf for other ends of pieces: a run of characters that isn't here is no end of any piece.
         self.tail = dict.fromkeys((p[i:] for p in self.score for i in range(1, len(p))), -math.inf) | self.score
         self.is_byte = set(self.byte_id)
+        of_byte = {i: bytes([b]) for b, i in enumerate(self.byte_id)}
+        #: The bytes that each id stands for.
+        self.bytes = pa.array([of_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(self.spelt)], pa.large_binary())
 
     def edges(self, word: str, end: int):
         """(start, score, pieces) of the lattice's edges into `end`; word starts with the mark, any other mark is a plain character."""
@@ -160,40 +166,105 @@ class Pieces:
             out.append(run.decode("utf-8", "surrogatepass"))
         return "".join(out)[1:]
 
+    def spelling(self, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of the texts whose ids stand one after another in flat, each from its offset on: decode() for many."""
+        spelt = self.bytes.take(pa.array(flat))
+        ends = np.frombuffer(spelt.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        data = spelt.buffers()[2].to_pybytes() if len(flat) else b""
+        cut = ends[offsets].tolist()
+        return pa.array([data[a + 1 : b] for a, b in itertools.pairwise(cut)], pa.large_binary())
+
+
+#: Bytes of text that are encoded together, so that a batch of long texts doesn't multiply in memory.
+SLICE = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch, text_col: str):
+    """(rows of the batch, their texts without nulls) in slices of SLICE bytes of text, or one longer text."""
+    texts = pc.fill_null(batch.column(text_col), "").cast(pa.large_string())
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held + n > SLICE and i > first:
+            yield batch.slice(first, i - first), texts.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield batch.slice(first), texts.slice(first)
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words that single blanks part, the index of each text's words among them, and where each text's begin."""
+    parts = pc.split_pattern(texts, " ")
+    coded = pc.dictionary_encode(parts.flatten())
+    begin = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), begin
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), then start[1], ..."""
+    at = np.cumsum(size) - size
+    return np.repeat(start - at, size) + np.arange(size.sum())
+
 
 class Encoder:
-    """Encodes texts word by word; words' results are kept in a bounded memo."""
+    """Encodes texts by their distinct words; words' results are kept in a bounded memo."""
 
     def __init__(self, pieces: Pieces, n: int = 4, cap: int = 400_000):
         self.pieces, self.n = pieces, n
         self.memo = TwoGenerations(lambda w: pieces.best(MARK + w), cap)
         self.more = TwoGenerations(lambda w: pieces.n_best(MARK + w, n), 2_000)
 
-    def __call__(self, text: str) -> tuple[bytes, list[float], list[tuple[int, str, int]]]:
-        """Ids of the best segmentation, scores of the n best ones, and (word index, word, rank) choices of the second one.
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
+        """Ids of the texts' best segmentations one after another, where each text's begin, and scores of the n best ones.
+
+        The lattice splits between words, so a distinct word is segmented once and its ids are copied to wherever it stands.
+        """
+        words, at, begin = distinct_words(texts)
+        ids, scores, gaps = zip(*map(self.memo.__getitem__, words), strict=True) if words else ((), (), ())
+        flat, size = np.frombuffer(b"".join(ids), np.int32), np.array([len(x) >> 2 for x in ids], np.int64)
+        scores, gaps = np.array(scores), np.array(gaps)
+        sizes = size[at]
+        out = flat[ranges((np.cumsum(size) - size)[at], sizes)]
+        offsets = np.r_[0, np.cumsum(sizes)][begin]
+        best = [self.scores(words, at[a:b], math.fsum(scores[at[a:b]].tolist()), gaps[at[a:b]]) for a, b in itertools.pairwise(begin.tolist())]
+        return out, offsets, best
+
+    def scores(self, words: list[str], at: np.ndarray, best: float, near: np.ndarray) -> list[float]:
+        """Scores of the n best segmentations of a text of the words `at`, whose second choices fall behind by `near`.
 
         A text's segmentations are products of its words' ones. Only the n-1 words whose second choice is nearest can differ
         from their best among the n best, so the search over the whole lattice runs over these words' n-best lists.
         """
-        words = text.split(" ")
-        ids, scores, gaps = zip(*map(self.memo.__getitem__, words), strict=True)
-        best = math.fsum(scores)
-        near = np.array(gaps)
-        k = min(self.n - 1, len(words))
-        at = np.argpartition(near, k - 1)[:k] if k < len(words) else np.arange(len(words))
-        lists = [(w, [0.0 + self.more[words[w]][0][0] - s for s, _ in self.more[words[w]]]) for w in at[np.isfinite(near[at])].tolist()]
-        out, second = [], []
-        heap, seen = [(0.0, (0,) * len(lists))], {(0,) * len(lists)}
+        k = min(self.n - 1, len(at))
+        if k:
+            chosen = np.argpartition(near, k - 1)[:k] if k < len(at) else np.arange(k)
+            lists = [self.more[words[w]] for w in at[chosen[np.isfinite(near[chosen])]].tolist()]
+        else:
+            lists = []
+        behind = [[x[0][0] - s for s, _ in x] for x in lists]
+        out = []
+        heap, seen = [(0.0, (0,) * len(behind))], {(0,) * len(behind)}
         while heap and len(out) < self.n:
             cost, ranks = heapq.heappop(heap)
             out.append(best - cost)
-            if len(out) == 2:
-                second = [(lists[i][0], words[lists[i][0]], r) for i, r in enumerate(ranks) if r]
             for i, r in enumerate(ranks):
-                if r + 1 < len(lists[i][1]) and (to := (*ranks[:i], r + 1, *ranks[i + 1 :])) not in seen:
+                if r + 1 < len(behind[i]) and (to := (*ranks[:i], r + 1, *ranks[i + 1 :])) not in seen:
                     seen.add(to)
-                    heapq.heappush(heap, (cost - lists[i][1][r] + lists[i][1][r + 1], to))
-        return b"".join(ids), out, second
+                    heapq.heappush(heap, (cost - behind[i][r] + behind[i][r + 1], to))
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(model: str, n: int) -> Encoder:
+    """The encoder of this worker process: its vocabulary and memo serve one task after another."""
+    return Encoder(Pieces(model), n)
+
+
+@functools.lru_cache(maxsize=1)
+def counter(model: str) -> TwoGenerations:
+    """The memo of token counts of this worker process."""
+    return TwoGenerations(TokenTrie(Pieces(model)).count, 200_000)
 
 
 def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MODEL, round_trip: bool = True) -> DataFrame:
@@ -207,20 +278,13 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MOD
     schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("decoded_ok", T.BooleanType())])
 
     def run(batches):
-        pieces = Pieces(model)
-        encoder = Encoder(pieces, n)
-        for b in batches:
-            ids, scores, ok = [], [], []
-            for t in b.column(text_col):
-                text = t.as_py() or ""
-                raw, best, _ = encoder(text)
-                ids.append(raw)
-                scores.append(best)
-                ok.append(pieces.decode(np.frombuffer(raw, np.int32).tolist()) == text if round_trip else None)
-            offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            cols = [pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(scores, pa.list_(pa.float64())), pa.array(ok, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
+        made = encoder(model, n)
+        for batch in batches:
+            for rows, texts in sliced(batch, text_col):
+                flat, offsets, scores = made.many(texts)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                ok = pc.equal(made.pieces.spelling(flat, offsets), texts.cast(pa.large_binary())) if round_trip else pa.nulls(len(texts), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(scores, pa.list_(pa.float64())), ok], [*rows.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -306,11 +370,12 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) ->
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_pretokens", T.LongType())])
 
     def run(batches):
-        memo = TwoGenerations(TokenTrie(Pieces(model)).count, 200_000)
-        for b in batches:
-            words = [(t.as_py() or "").split(" ") for t in b.column(text_col)]
-            cols = [pa.array([sum(map(memo.__getitem__, w)) for w in words], pa.int64()), pa.array([len(w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "n_tokens", "n_pretokens"])
+        counts = counter(model)
+        for batch in batches:
+            for rows, texts in sliced(batch, text_col):
+                words, at, begin = distinct_words(texts)
+                total = np.r_[0, np.cumsum(np.array([counts[w] for w in words], np.int64)[at])][begin]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(total)), pa.array(np.diff(begin).astype(np.int64))], [*rows.schema.names, "n_tokens", "n_pretokens"])
 
     return docs.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,7 +179,7 @@ def test_n_best_is_exact(model, word):
 
 def test_text_n_best(model):
     text = "the cat sat"
-    _, scores, _ = pieces.Encoder(model, n=6)(text)
+    _, _, (_, scores) = pieces.Encoder(model, n=6).many(pa.array(["", text]))
     lists = [[s for s, _ in brute(model, pieces.MARK + w, 6)] for w in text.split(" ")]
     every = sorted((a + b + c for a in lists[0] for b in lists[1] for c in lists[2]), reverse=True)[:6]
     assert scores == pytest.approx(every)
@@ -194,6 +195,14 @@ def test_round_trip_and_counts(spark):
     assert counts == {i: len(out[i].piece_ids) for i in out}
 
 
+def test_slices_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 10)
+    batch = pa.record_batch([pa.array(["abc", None, "d" * 30, "", "efghijk", "lm"])], ["text"])
+    got = [t.to_pylist() for _, t in pieces.sliced(batch, "text")]
+    assert got == [["abc", ""], ["d" * 30], ["", "efghijk", "lm"]]
+    assert list(pieces.sliced(batch.slice(0, 0), "text")) == []
+
+
 def test_trie_restarts(model):
     words = [f"w{i}x{i * 7}" for i in range(300)]
     small, large = pieces.TokenTrie(model, cap=50), pieces.TokenTrie(model)
