@@ -78,6 +78,19 @@ class TwoGenerations(dict):
         self[key] = value
         return value
 
+    def many(self, keys: list, make) -> list:
+        """Values of distinct keys; those that aren't known are made together. Values are true ones."""
+        get, old = self.get, self.old.get
+        out = [get(k) or old(k) for k in keys]
+        new = [i for i, v in enumerate(out) if v is None]
+        for i, value in zip(new, make([keys[i] for i in new]), strict=True):
+            out[i] = value
+        if len(self) + len(keys) > self.cap:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, out, strict=True))
+        return out
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Alternating large-star and small-star until nothing changes: (node, component), component the smallest id.

@@ -129,6 +129,23 @@ class Pieces:
             ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
         return array("i", ids).tobytes(), best[-1], gap
 
+    @functools.cached_property
+    def trie(self) -> Trie:
+        return Trie(self)
+
+    def best_many(self, words: list[str], longest: int = 64) -> list[tuple[bytes, float, float]]:
+        """best() of each of words, for those of up to `longest` characters at once: the same sums, a column of words a step.
+
+        A word goes to best() if a mark stands inside it or its best segmentation has a character of several bytes.
+        """
+        out: list = [None] * len(words)
+        at = [i for i, w in enumerate(words) if len(w) <= longest and MARK not in w[1:]]
+        at.sort(key=lambda i: -len(words[i]))
+        for few in itertools.batched(at, 8192):
+            for i, found in zip(few, self.trie.best([words[i] for i in few]), strict=True):
+                out[i] = found
+        return [self.best(w) if x is None else x for w, x in zip(words, out, strict=True)]
+
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations: A* backward from the end, in which the forward scores are exact, so each pop is final."""
         best, _, _ = self.forward(word)
@@ -175,6 +192,74 @@ class Pieces:
         return pa.array([data[a + 1 : b] for a, b in itertools.pairwise(cut)], pa.large_binary())
 
 
+class Trie:
+    """The pieces' trie, read from their ends, as sorted arrays: a step from (node, character) is a search among the keys."""
+
+    def __init__(self, pieces: Pieces):
+        nodes = {t: i for i, t in enumerate(pieces.tail)}  # a run of characters that ends a piece
+        self.score = np.array(list(pieces.tail.values()))
+        self.id = np.array([pieces.id[t] if s > -math.inf else -1 for t, s in pieces.tail.items()], np.int32)
+        self.byte_score = pieces.byte_score
+        self.byte_id = np.array(pieces.byte_id[:128], np.int32)
+        pairs = sorted((nodes[t[1:]] << 21 | ord(t[0]), i) for t, i in nodes.items() if len(t) > 1)
+        self.keys, self.to = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.first = np.full(0x110000, -1, np.int32)
+        for t, i in nodes.items():
+            if len(t) == 1:
+                self.first[ord(t)] = i
+
+    def best(self, words: list[str]) -> list[tuple[bytes, float, float] | None]:
+        """Pieces.best() of words that come longest first; None where a character is spelt in several bytes."""
+        size = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+        n, most = len(words), int(size[0])
+        code = np.zeros((most, n), np.int32)
+        row = np.repeat(np.arange(n), size)
+        code[np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size), row] = chars
+        best, second = np.zeros((most + 1, n)), np.full((most + 1, n), math.inf)
+        back, piece = np.zeros((most + 1, n), np.int32), np.full((most + 1, n), -1, np.int32)
+        for end in range(1, most + 1):
+            m = int(np.searchsorted(-size, -end, side="right"))
+            c = code[end - 1, :m]
+            node = self.first[c]
+            score = np.where(node >= 0, self.score[node], -math.inf)
+            lone = np.isneginf(score)
+            width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+            top = best[end - 1, :m] + np.where(lone, width * self.byte_score, score)
+            start, ids, gap = np.full(m, end - 1, np.int32), np.where(lone, np.where(c < 0x80, self.byte_id[c & 127], -1), self.id[node]), np.full(m, math.inf)
+            rows = np.flatnonzero(node >= 0)
+            node = node[rows].astype(np.int64)
+            for at in range(end - 2, -1, -1):
+                key = node << 21 | code[at, rows]
+                where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[where] == key)
+                if not len(hit):
+                    break
+                rows, node = rows[hit], self.to[where[hit]]
+                ahead = self.score[node] + best[at, rows] - top[rows]
+                won = ahead >= 0  # the leftmost start wins a tie
+                gap[rows] = np.where(won, ahead, np.minimum(gap[rows], -ahead))
+                r = rows[won]
+                top[r], start[r], ids[r] = self.score[node[won]] + best[at, r], at, self.id[node[won]]
+            best[end, :m], back[end, :m], piece[end, :m], second[end, :m] = top, start, ids, gap
+        at, every, gap = size.copy(), np.arange(n), np.full(n, math.inf)
+        path, taken, spelt = np.zeros((most, n), np.int32), np.zeros(n, np.int64), np.ones(n, bool)
+        rows = every[at > 0]
+        while len(rows):
+            here = at[rows]
+            path[taken[rows], rows] = ids = piece[here, rows]
+            spelt[rows] &= ids >= 0
+            gap[rows] = np.minimum(gap[rows], second[here, rows])
+            taken[rows] += 1
+            at[rows] = back[here, rows]
+            rows = rows[at[rows] > 0]
+        row = np.repeat(every, taken)
+        flat = path[np.repeat(np.cumsum(taken), taken) - 1 - np.arange(len(row)), row].tobytes()
+        cut = [0, *(4 * np.cumsum(taken)).tolist()]
+        found = zip(itertools.pairwise(cut), best[size, every].tolist(), gap.tolist(), spelt.tolist(), strict=True)
+        return [(flat[a:b], s, g) if ok else None for (a, b), s, g, ok in found]
+
+
 #: Bytes of text that are encoded together, so that a batch of long texts doesn't multiply in memory.
 SLICE = 4 << 20
 
@@ -212,7 +297,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n: int = 4, cap: int = 400_000):
         self.pieces, self.n = pieces, n
-        self.memo = TwoGenerations(lambda w: pieces.best(MARK + w), cap)
+        self.memo = TwoGenerations(None, cap)
         self.more = TwoGenerations(lambda w: pieces.n_best(MARK + w, n), 2_000)
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
@@ -221,7 +306,7 @@ class Encoder:
         The lattice splits between words, so a distinct word is segmented once and its ids are copied to wherever it stands.
         """
         words, at, begin = distinct_words(texts)
-        ids, scores, gaps = zip(*map(self.memo.__getitem__, words), strict=True) if words else ((), (), ())
+        ids, scores, gaps = zip(*self.memo.many(words, lambda new: self.pieces.best_many([MARK + w for w in new])), strict=True) if words else ((), (), ())
         flat, size = np.frombuffer(b"".join(ids), np.int32), np.array([len(x) >> 2 for x in ids], np.int64)
         scores, gaps = np.array(scores), np.array(gaps)
         sizes = size[at]

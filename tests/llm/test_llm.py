@@ -195,6 +195,13 @@ def test_round_trip_and_counts(spark):
     assert counts == {i: len(out[i].piece_ids) for i in out}
 
 
+def test_columns_of_words_agree_with_single_ones(model):
+    rng = random.Random(3)
+    words = ["", "the", "naïve", "日本語x", "a▁b", "🙂", "x\ny", "z" * 100] + ["".join(rng.choices("thein.\n01é語▁ßЖ🙂QZ#", k=rng.randint(1, 30))) for _ in range(3000)]
+    words = [pieces.MARK + w for w in words]
+    assert model.best_many(words) == [model.best(w) for w in words] and model.best_many([]) == []
+
+
 def test_slices_hold_whole_texts(monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 10)
     batch = pa.record_batch([pa.array(["abc", None, "d" * 30, "", "efghijk", "lm"])], ["text"])
