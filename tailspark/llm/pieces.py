@@ -295,7 +295,7 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts by their distinct words; words' results are kept in a bounded memo."""
 
-    def __init__(self, pieces: Pieces, n: int = 4, cap: int = 100_000):
+    def __init__(self, pieces: Pieces, n: int = 4, cap: int = 200_000):
         self.pieces, self.n = pieces, n
         self.memo = TwoGenerations(None, cap)
         self.more = TwoGenerations(lambda w: pieces.n_best(MARK + w, n), 2_000)
