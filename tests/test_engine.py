@@ -210,3 +210,24 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() == 2
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["f09_central_scale", "f04_m09_from_quantiles", "w15_monotone", "w16_innovations", "a08_matrix", "a09_cube", "s08_distinct_origins", "m08_vol_path_normal"])
+def test_quantile_queries_take_every_origin(spark, name):
+    """As the registered SQL without its stride of five origins."""
+    import duckdb
+
+    from tailspark.plans import queries as q
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
+    want = con.execute(q.ORACLES[name].replace(" AND rn % 5 = 0", "")).fetchall()
+    got = [tuple(r) for r in q.QUERIES[name](spark, d).collect()]
+    columns = [x[0] for x in con.description]
+    assert len(got) == len(want) and q.QUERIES[name](spark, d).columns == columns
+    key = lambda r: tuple(str(x) for x, c in zip(r, columns) if c in ("series", "origin", "day", "level", "horizon"))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert key(a) == key(b)
+        for x, y in zip(a, b, strict=True):
+            assert x == y or x == pytest.approx(y, abs=2e-6)
