@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 
 import numpy as np
@@ -14,6 +15,8 @@ from .common import TwoGenerations, arrow_rows, connected_components, save
 
 #: Words per shingle, least similarity, sketches per text, and minimum shingles per sketch.
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 20, 5
+#: Texts of so many shingles or fewer also get keys that no pair of them can miss.
+SHORT = 25
 _MIX = np.random.default_rng(20190703).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,6 +62,11 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix(h: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The least shingles of a short text, so many that any text alike by `least` has one of them among its own least ones."""
+    return np.sort(h)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] if len(h) <= SHORT else h[:0]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Shingles matched in order over those of either text; matches lie in the band outside which `least` can't be reached.
 
@@ -103,14 +111,14 @@ def _sketches(batches):
             n.append(len(h))
             x = _scramble(w + np.arange(len(w), dtype=np.uint64) * _P)
             keys.append(f"{len(w):x}:{int(x.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(_scramble(x + _P))) if len(x) else 0:016x}")
-            out.append(sketch(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+            out.append(np.r_[sketch(h), prefix(h)].view(np.int64) if len(h) else np.zeros(0, np.int64))
         flat = np.concatenate(out) if out else np.zeros(0, np.int64)
         offsets = np.r_[0, np.cumsum([len(o) for o in out])].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "key", "sk"])
 
 
 class _Links:
-    """Verified links within one block pair: only pairs that share a sketch and aren't joined yet are looked at."""
+    """Verified links within one block pair: only pairs that share a sketch, or are short, and aren't joined yet are looked at."""
 
     def __init__(self, ids: list[int], texts: list[str], side: list[int]):
         memo = TwoGenerations(_word, 200_000)
@@ -129,7 +137,7 @@ class _Links:
             if self.side.any():  # blocks a and b: links within a block are found elsewhere
                 c = c[self.side[c] != self.side[x]]
             c = c[(self.comp[c] != self.comp[x]) & (np.minimum(self.n[c], self.n[x]) >= SIMILARITY * np.maximum(self.n[c], self.n[x]))]
-            c = c[(self.s[c] == self.s[x]).any(axis=1)]
+            c = c[(self.s[c] == self.s[x]).any(axis=1) | (np.maximum(self.n[c], self.n[x]) <= SHORT)]
             if not len(c):
                 continue
             own = self.flat[self.start[x] : self.start[x + 1]]
@@ -155,13 +163,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts link when a sketch agrees and their five-word shingles, aligned in order, are alike by 0.8 or more. Words are
     what white space parts. Texts with the same words are copies: one class whatever their length; a text without words (or
-    null) is alone in its class. Null ids are given class null and stay. A sketch agrees with probability about s**5, one of
-    20 misses a pair at 0.8 with probability 0.0004, one at 0.9 practically never; there is no cap on candidates.
+    null) is alone in its class. Null ids are given class null and stay. A sketch agrees with probability s**5 in long texts and
+    a little less in shorter ones, so that all 20 miss a pair at 0.8 with probability 0.0004 to 0.0009, one at 0.9 practically
+    never; pairs of texts of at most SHORT shingles each are never missed; there is no cap on candidates.
 
-    Plan: one pass makes (id, count, key, sketches); equal keys collapse, so copies are never paired. Sketch buckets join
+    Plan: one pass makes (id, count, key, sketches and the short texts' prefixes); equal keys collapse, so copies are never paired. Sketch buckets join
     their members to a star, and the stars' components (not links yet) are the families in which all candidates lie. Texts
     of families of two or more go to their family; families beyond `block` texts are dealt into blocks and all pairs of
-    blocks, so a task holds two blocks at most. Within a task, pairs that share a sketch are checked by exact shingle overlap
+    blocks, so a task holds two blocks at most. Within a task, pairs that share a sketch or are short are checked by exact shingle overlap
     and then aligned, except where links already join them; so a task returns a forest, and no pairs leave it.
     """
     spark = docs.sparkSession
@@ -169,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = save(texts.mapInArrow(_sketches, "id long, n int, key string, sk array<long>"), "omh-sketch")
     rep = save(sk.filter("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min(F.struct("id", "n", "sk")).alias("r")).select("key", "r.*"), "omh-reps")
-    bands = rep.select("id", F.posexplode("sk").alias("band", "value"))
+    bands = rep.select("id", F.posexplode("sk").alias("band", "value")).withColumn("band", F.least("band", F.lit(SKETCHES)))
     stars = bands.groupBy("band", "value").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
     near = bands.join(stars, ["band", "value"]).filter("id != dst").select(F.col("id").alias("src"), "dst").distinct()
     family = save(connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("family")), "omh-families")

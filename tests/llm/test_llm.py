@@ -114,6 +114,36 @@ def test_order_minhash_against_all_pairs(spark):
     assert all(r.kept for r in out if r.doc_id in (None, 1, 2, 3))
 
 
+def test_order_minhash_misses_no_short_pair(spark):
+    rnd = random.Random(5)
+    texts = set()
+    for size in range(5, 30):
+        for _ in range(4):
+            base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+            texts |= {" ".join(x) for x in (base, [*base, "new"], ["old", *base], base[1:], [*base, "a", "b"], [*base[:-1], "last"], [*base[2:], "c"])}
+    # 8 and 9 words: 4 of 5 shingles
+    rows = [(1, "a b c d e f g h", "x"), (2, "a b c d e f g h i", "x"), *((i, t, "x") for i, t in enumerate(sorted(texts), 10))]
+    h = {i: omh.shingles(np.array([omh._word(x) for x in t.split()], np.uint64)) for i, t, _ in rows}
+    cls = {i: i for i in h}
+
+    def root(i):
+        while cls[i] != i:
+            i = cls[i]
+        return i
+
+    short = [i for i in h if len(h[i]) <= omh.SHORT]
+    links = 0
+    for a, b in combinations(short, 2):
+        if not np.isin(h[a], h[b]).any():
+            continue
+        if omh.aligned(h[a], h[b]) >= 0.8:
+            x, y = sorted((root(a), root(b)))
+            cls[y] = x
+            links += 1
+    out = {r.doc_id: r.class_id for r in omh.near_duplicates(docs(spark, [r for r in rows if r[0] in set(short)]), block=64).collect()}
+    assert links > 500 and out == {i: root(i) for i in short} and out[2] == 1
+
+
 def test_alignment_needs_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert omh.aligned(a, a) == 1 and omh.aligned(a, a[10:]) == 0.9
