@@ -24,8 +24,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Base kinds are matched leftmost and without overlap per kind. Weak kinds (login names, opaque runs, endpoints) are
-    reported only when complementary parts lie within `scope` code points in the same text: a login beside a secret, an
-    opaque run beside an identifier, an endpoint beside both; weak spans that overlap a base span go. Null text is empty
+    reported only when complementary parts lie within `scope` code points in the same text: a login beside a secret (a base
+    one, or an opaque run that is reported), an opaque run beside an identifier, an endpoint beside both; weak spans that overlap a base span go. Null text is empty
     and gives no spans; null or repeated ids keep a row each; other columns are ignored.
 
     Plan: one scan writes (row, id, text where it may match); matching texts explode into pieces between matches, whose
@@ -62,8 +62,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = parts.withColumns({
         "in_base": near(F.col("base"), -1),
         "by_id": near(F.col("role") == "id", scope),
-        "by_secret": near((F.col("role") == "secret") & F.col("base"), scope),
     })
+    # a secret counts beside logins and endpoints where it is itself reported: base, or opaque beside an identifier
+    told = (F.col("role") == "secret") & (F.col("base") | (~F.col("in_base") & F.col("by_id")))
+    marked = marked.withColumn("told", told)
+    marked = marked.withColumn("by_secret", near(F.col("told"), scope))
     linked = (
         F.when(F.col("role") == "id", F.col("by_secret"))
         .when(F.col("role") == "secret", F.col("by_id"))
