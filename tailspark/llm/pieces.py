@@ -2,9 +2,10 @@
 
 The vocabulary is that of a public SentencePiece model; it is read, never trained. A piece's score is the unigram
 log-probability that its rank gives under Zipf's law, -ln(rank + 2); a character outside the vocabulary goes to byte pieces,
-each scored below every other piece. A blank is written as the mark U+2581, one blank is put before the text, and the
-lattice of a text splits before each mark, because no piece of two or more words is used. So segmentation loses nothing: decoding gives back
-every text exactly, a literal U+2581 included (it is spelt in bytes).
+each scored below every other piece. The file writes a blank as the mark U+2581; here pieces are held with blanks. One blank
+is put before the text, and its lattice splits before each blank that follows another character, because no piece crosses
+there: a unit is a run of blanks with the word after it, and pieces that are runs of blanks are pieces like others. So
+segmentation loses nothing: decoding gives back every text exactly, a literal U+2581 included (it is spelt in bytes).
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ MARK = "▁"
 
 
 class Pieces:
-    """score and id of each usable piece; byte pieces by value; spelling of each id."""
+    """score and id of each piece, written with blanks; byte pieces by value; spelling of each id.
+
+    Methods take units: a unit begins with a blank (or the mark in its place); a mark further on is a plain character.
+    """
 
     def __init__(self, model: str = MODEL):
         import sentencepiece
@@ -44,8 +48,10 @@ class Pieces:
             self.spelt.append(p)
             if sp.is_byte(i):
                 self.byte_id[int(p[3:5], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p[1:]:
-                self.id[p] = i
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if " " in p or MARK in p.lstrip(MARK):
+                    raise ValueError(f"piece {i} crosses units: {p!r}")
+                self.id[p.replace(MARK, " ")] = i
         for rank, p in enumerate(self.id):
             self.score[p] = -math.log(rank + 2)
         self.byte_score = -math.log(len(self.id) + 2) - 2.0
@@ -58,12 +64,14 @@ class Pieces:
         self.bytes = pa.array([of_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(self.spelt)], pa.large_binary())
 
     def edges(self, word: str, end: int):
-        """(start, score, pieces) of the lattice's edges into `end`; word starts with the mark, any other mark is a plain character."""
+        """(start, score, pieces) of the lattice's edges into `end`."""
         score = self.score
+        if word[0] != " ":
+            word = " " + word[1:]
         lone = True
         for start in range(max(0, end - self.longest), end):
             s = score.get(word[start:end])
-            if s is not None and not (MARK in word[max(1, start) : end]):
+            if s is not None:
                 lone = lone and start < end - 1
                 yield start, s, 1
         if lone:
@@ -71,9 +79,9 @@ class Pieces:
             yield end - 1, n * self.byte_score, n
 
     def spell(self, word: str, start: int, end: int) -> list[int]:
-        p = word[start:end]
+        p = word[start:end] if start else " " + word[1:end]
         i = self.id.get(p)
-        if i is not None and MARK not in word[max(1, start) : end]:
+        if i is not None:
             return [i]
         return [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
 
@@ -81,32 +89,23 @@ class Pieces:
         """Best score of each prefix, where its last piece starts, and how far another last piece falls behind."""
         best, back, second = [0.0], [0], [math.inf]
         tail, byte_score = self.tail.get, self.byte_score
-        plain = MARK not in word[1:]
-        for end in range(1, len(word) + 1):
-            if plain:  # starts go down, the leftmost wins a tie
-                at = end - 1
-                s = tail(word[at])
-                lone = s is None or s == -math.inf
-                top = best[at] + (len(word[at].encode("utf-8", "surrogatepass")) * byte_score if lone else s)
-                gap, start = math.inf, at if s is not None else 0
-                while start > 0:
-                    start -= 1
-                    s = tail(word[start:end])
-                    if s is None:
-                        break
-                    s += best[start]
-                    if s >= top:
-                        gap, top, at = s - top, s, start
-                    elif top - s < gap:
-                        gap = top - s
-            else:
-                top, at, gap = -math.inf, -1, math.inf
-                for start, s, _ in self.edges(word, end):
-                    s += best[start]
-                    if s > top:
-                        gap, top, at = s - top, s, start
-                    elif top - s < gap:
-                        gap = top - s
+        word = " " + word[1:]
+        for end in range(1, len(word) + 1):  # starts go down, the leftmost wins a tie
+            at = end - 1
+            s = tail(word[at])
+            lone = s is None or s == -math.inf
+            top = best[at] + (len(word[at].encode("utf-8", "surrogatepass")) * byte_score if lone else s)
+            gap, start = math.inf, at if s is not None else 0
+            while start > 0:
+                start -= 1
+                s = tail(word[start:end])
+                if s is None:
+                    break
+                s += best[start]
+                if s >= top:
+                    gap, top, at = s - top, s, start
+                elif top - s < gap:
+                    gap = top - s
             best.append(top)
             back.append(at)
             second.append(gap)
@@ -114,6 +113,7 @@ class Pieces:
 
     def best(self, word: str) -> tuple[bytes, float, float]:
         """Ids of the best segmentation as int32 bytes, its score, and the second best one's distance."""
+        word = " " + word[1:]
         best, back, second = self.forward(word)
         ids, end, gap, find = [], len(word), math.inf, self.id.get
         cuts = []
@@ -125,7 +125,7 @@ class Pieces:
                 gap = second[end]
             end = start
         ids.reverse()
-        if None in ids or MARK in word[1:]:
+        if None in ids:
             ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
         return array("i", ids).tobytes(), best[-1], gap
 
@@ -136,10 +136,11 @@ class Pieces:
     def best_many(self, words: list[str], longest: int = 64) -> list[tuple[bytes, float, float]]:
         """best() of each of words, for those of up to `longest` characters at once: the same sums, a column of words a step.
 
-        A word goes to best() if a mark stands inside it or its best segmentation has a character of several bytes.
+        A word goes to best() if it is longer or its best segmentation spells a character of several bytes.
         """
+        words = [" " + w[1:] for w in words]
         out: list = [None] * len(words)
-        at = [i for i, w in enumerate(words) if len(w) <= longest and MARK not in w[1:]]
+        at = [i for i, w in enumerate(words) if len(w) <= longest]
         at.sort(key=lambda i: -len(words[i]))
         for few in itertools.batched(at, 8192):
             for i, found in zip(few, self.trie.best([words[i] for i in few]), strict=True):
@@ -147,23 +148,27 @@ class Pieces:
         return [self.best(w) if x is None else x for w, x in zip(words, out, strict=True)]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: A* backward from the end, in which the forward scores are exact, so each pop is final."""
+        """The n best segmentations: A* backward from the end, in which the forward scores are exact, so each pop is final.
+
+        Costs are compared to nine digits, and of equal ones the path nearest to the start goes on: a run of blanks has very many.
+        """
+        word = " " + word[1:]
         best, _, _ = self.forward(word)
         order = count()
-        heap = [(-best[-1], next(order), len(word), 0.0, None)]
+        heap = [(round(-best[-1], 9), len(word), next(order), 0.0, None)]
         out = []
         while heap and len(out) < n:
-            cost, _, end, done, path = heapq.heappop(heap)
+            _, end, _, done, path = heapq.heappop(heap)
             if end == 0:
                 ids = []
                 while path:
                     ids += self.spell(word, *path[0])
                     path = path[1]
-                out.append((-cost, ids))
+                out.append((done, ids))
                 continue
             for start, s, _ in self.edges(word, end):
-                heapq.heappush(heap, (-(best[start] + s + done), next(order), start, done + s, ((start, end), path)))
-        return out
+                heapq.heappush(heap, (round(-(best[start] + s + done), 9), start, next(order), done + s, ((start, end), path)))
+        return sorted(out, key=lambda x: -x[0])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids made by an encoder of this class."""
@@ -279,11 +284,23 @@ def sliced(batch: pa.RecordBatch, text_col: str):
 
 
 def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words that single blanks part, the index of each text's words among them, and where each text's begin."""
+    """The distinct units without their first blank, the index of each text's units among them, and where each text's begin.
+
+    Single blanks part a text; an empty part is a further blank of the unit of the part behind it, or a unit at the text's end.
+    """
     parts = pc.split_pattern(texts, " ")
     coded = pc.dictionary_encode(parts.flatten())
     begin = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), begin
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:
+        closes = at != words.index("")
+        closes[begin[1:] - 1] = True
+        ends = np.flatnonzero(closes)
+        blanks = np.diff(ends, prepend=-1) - 1
+        units, code = np.unique(blanks * len(words) + at[ends], return_inverse=True)
+        words = [" " * (u // len(words)) + words[u % len(words)] for u in units.tolist()]
+        at, begin = code, np.searchsorted(ends, begin)
+    return words, at, begin
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -298,15 +315,15 @@ class Encoder:
     def __init__(self, pieces: Pieces, n: int = 4, cap: int = 200_000):
         self.pieces, self.n = pieces, n
         self.memo = TwoGenerations(None, cap)
-        self.more = TwoGenerations(lambda w: pieces.n_best(MARK + w, n), 2_000)
+        self.more = TwoGenerations(lambda w: pieces.n_best(" " + w, n), 2_000)
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """Ids of the texts' best segmentations one after another, where each text's begin, and scores of the n best ones.
 
-        The lattice splits between words, so a distinct word is segmented once and its ids are copied to wherever it stands.
+        The lattice splits between units (`words`), so a distinct one is segmented once and its ids are copied to wherever it stands.
         """
         words, at, begin = distinct_words(texts)
-        ids, scores, gaps = zip(*self.memo.many(words, lambda new: self.pieces.best_many([MARK + w for w in new])), strict=True) if words else ((), (), ())
+        ids, scores, gaps = zip(*self.memo.many(words, lambda new: self.pieces.best_many([" " + w for w in new])), strict=True) if words else ((), (), ())
         flat, size = np.frombuffer(b"".join(ids), np.int32), np.array([len(x) >> 2 for x in ids], np.int64)
         scores, gaps = np.array(scores), np.array(gaps)
         sizes = size[at]
@@ -405,38 +422,30 @@ class TokenTrie:
         self.best, self.taken = [0.0], [0]
 
     def count(self, word: str) -> int:
-        """Pieces of the best segmentation of the mark and word."""
-        word = MARK + word
+        """Pieces of the best segmentation of a blank and word."""
+        word = " " + word
         if len(self.best) > self.cap:
             self.reset()
         child, best, taken, tail = self.child, self.best, self.taken, self.pieces.tail.get
         path, node = [0], 0
-        plain = MARK not in word[1:]
         for end in range(1, len(word) + 1):
             key = (node, word[end - 1])
             to = child.get(key)
             if to is None:
-                if plain:  # starts go down, the leftmost wins a tie
-                    start = end - 1
-                    s = tail(word[start])
-                    lone = s is None or s == -math.inf
-                    size = len(word[start].encode("utf-8", "surrogatepass")) if lone else 1
-                    top, n = best[path[start]] + (size * self.pieces.byte_score if lone else s), taken[path[start]] + size
-                    start = start if s is not None else 0
-                    while start > 0:
-                        start -= 1
-                        s = tail(word[start:end])
-                        if s is None:
-                            break
-                        s += best[path[start]]
-                        if s >= top:
-                            top, n = s, taken[path[start]] + 1
-                else:
-                    top, n = -math.inf, 0
-                    for start, s, size in self.pieces.edges(word, end):
-                        s += best[path[start]]
-                        if s > top:
-                            top, n = s, taken[path[start]] + size
+                start = end - 1  # starts go down, the leftmost wins a tie
+                s = tail(word[start])
+                lone = s is None or s == -math.inf
+                size = len(word[start].encode("utf-8", "surrogatepass")) if lone else 1
+                top, n = best[path[start]] + (size * self.pieces.byte_score if lone else s), taken[path[start]] + size
+                start = start if s is not None else 0
+                while start > 0:
+                    start -= 1
+                    s = tail(word[start:end])
+                    if s is None:
+                        break
+                    s += best[path[start]]
+                    if s >= top:
+                        top, n = s, taken[path[start]] + 1
                 to = len(best)
                 best.append(top)
                 taken.append(n)
@@ -447,8 +456,8 @@ class TokenTrie:
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with n_tokens and n_pretokens (longs): pre-tokens are what single blanks part, tokens their best segmentations'
-    pieces. Null text counts as empty: one pre-token, one token. Whole texts; other columns pass through."""
+    """docs with n_tokens and n_pretokens (longs): pre-tokens are what single blanks part, tokens the pieces of the
+    text's best segmentation. Null text counts as empty: one pre-token, one token. Whole texts; other columns pass through."""
     from pyspark.sql import types as T
 
     arrow_rows(docs.sparkSession)
@@ -460,7 +469,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) ->
             for rows, texts in sliced(batch, text_col):
                 words, at, begin = distinct_words(texts)
                 total = np.r_[0, np.cumsum(np.array([counts[w] for w in words], np.int64)[at])][begin]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(total)), pa.array(np.diff(begin).astype(np.int64))], [*rows.schema.names, "n_tokens", "n_pretokens"])
+                parts = pc.add(pc.count_substring(texts, " ").cast(pa.int64()), 1)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(total)), parts], [*rows.schema.names, "n_tokens", "n_pretokens"])
 
     return docs.mapInArrow(run, schema)
 

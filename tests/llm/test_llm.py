@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter
@@ -215,6 +216,43 @@ def test_text_n_best(model):
     assert scores == pytest.approx(every)
 
 
+def test_runs_of_blanks_use_all_pieces(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    used = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    score = {sp.id_to_piece(i).replace("▁", " "): -math.log(rank + 2) for rank, i in enumerate(used)}
+
+    def every(text):  # all segmentations of a whole text, without units
+        if not text:
+            return [(0.0, ())]
+        heads = [text[:k] for k in range(1, min(len(text), 17) + 1) if text[:k] in score]
+        return [(score[p] + s, (sp.piece_to_id(p.replace(" ", "▁")), *ids)) for p in heads for s, ids in every(text[len(p) :])]
+
+    texts = ["if x:\n    y", "a  b", "  ab   c ", " ", "   ", "a    ", "x " + " " * 7 + "y"]
+    flat, offsets, scores = pieces.Encoder(model, n=4).many(pa.array(texts))
+    trie = pieces.TokenTrie(model)
+    for k, t in enumerate(texts):
+        head, _, tail = t.partition("\n")  # a line feed is spelt in bytes
+        found = [sorted((s for s, _ in every(x)), reverse=True)[:4] for x in ([" " + head, tail] if tail else [" " + t])]
+        if tail:
+            want = sorted((a + b + model.byte_score for a in found[0] for b in found[1]), reverse=True)[:4]
+        else:
+            want = found[0]
+            assert want[0] == pytest.approx(next(s for s, ids in every(" " + t) if list(ids) == flat[offsets[k] : offsets[k + 1]].tolist()))
+        assert scores[k] == pytest.approx(want), t
+        words, at, begin = pieces.distinct_words(pa.array([t], pa.large_string()))
+        assert sum(trie.count(words[i]) for i in at) == offsets[k + 1] - offsets[k]
+    best = [0.0]
+    for end in range(1, 20_002):
+        best.append(max(best[end - k] + score[" " * k] for k in range(1, min(end, 16) + 1) if " " * k in score))
+    flat, offsets, scores = pieces.Encoder(model).many(pa.array([" " * 15, " " * 20_000]))
+    assert [x[0] for x in scores] == pytest.approx([best[16], best[20_001]])
+    assert flat[: offsets[1]].tolist() == 4 * [sp.piece_to_id("▁" * 4)]  # the piece of 16 blanks has a lower score than these
+    words, at, begin = pieces.distinct_words(pa.array(["", " ", "a  b", "  a"], pa.large_string()))
+    assert [words[i] for i in at] == ["", " ", "a", " b", "  a"] and begin.tolist() == [0, 1, 2, 4, 5]
+
+
 def test_round_trip_and_counts(spark):
     texts = [None, "", " ", "  two  blanks ", "tab\tline\n", "mark ▁ and ▁▁x", "émoji 🙂 日本", "z" * 3000, "a b " * 500]
     d = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
