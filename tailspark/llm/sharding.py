@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from .common import delete_path, work_path
 
 
+#: Runs count as alike up to this ratio of their bytes.
+LIKE = 2
+
+
 class ShardStore:
-    """Shards of a table in a folder, arranged in tiers: tier t holds runs made of `fan_in` runs of tier t-1.
+    """Shards of a table in a folder: runs of like size are merged, `fan_in` or more at once. An arrival has tier 0, a merged
+    run the next tier after its inputs' highest.
 
     A run is a folder of Parquet files that never changes. The manifest of version v lists the runs; it is written whole under
     a temporary name and renamed to v, which fails if v exists, so a reader sees a version entirely or not at all and of two
@@ -21,6 +26,8 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan_in: int = 4):
         self.spark, self.root, self.target, self.fan_in = spark, root, target_bytes, fan_in
+        #: Bytes of a row group, and of a partition that a merge reads: small beside a file, so that whole ones add up to the target.
+        self.piece = max(1024, target_bytes // 8)
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.path(f"{root}/manifest"))
@@ -31,7 +38,7 @@ class ShardStore:
         return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())])
 
     def runs(self, version: int | None = None) -> list[tuple[int, str, int]]:
-        """(tier, run, bytes) of a version: one entry per run, so as many as arrivals not merged yet plus fan_in per tier."""
+        """(tier, run, bytes) of a version: one entry per run, after compact() fewer than fan_in for each doubling of size."""
         v = self.version() if version is None else version
         if not v:
             return []
@@ -49,7 +56,7 @@ class ShardStore:
 
     def _write(self, df: DataFrame, tier: int) -> tuple[int, str, int]:
         run = f"t{tier}/run-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{run}")
+        df.write.option("compression", "zstd").option("parquet.block.size", self.piece).parquet(f"{self.root}/{run}")
         return tier, run, self.fs.getContentSummary(self.path(f"{self.root}/{run}")).getLength()
 
     def append(self, rows: DataFrame) -> int:
@@ -58,27 +65,46 @@ class ShardStore:
         return self.commit([*self.runs(at), self._write(rows, 0)], at)
 
     def compact(self) -> int:
-        """Merge tiers, from the smallest, that hold fan_in runs or more, each into files near the target; returns the version.
+        """Merge runs of like size, from the smallest, fan_in or more at once, each into files near the target; returns the version.
 
-        Files of a tier are of like size, so that a merge only concatenates: coalesce() packs whole input files into
-        ceil(bytes/target) outputs, and no row is shuffled. A row is rewritten once per tier, log_fan_in(arrivals) times.
+        Runs are alike when the largest has at most LIKE times the bytes of the smallest, by the manifest; a merged run takes
+        part by its own size. A merge only concatenates: partitions of an eighth of the target are packed into
+        ceil(bytes/target) outputs by coalesce(), and no row is shuffled. A merge makes a row's run larger by
+        1 + (fan_in - 1) / LIKE times or more, so a row is rewritten a logarithmic number of times.
         """
         at = self.version()
         runs = self.runs(at)
-        tier, gone = 0, []
-        while tier <= max([t for t, _, _ in runs], default=-1):
-            own = [r for r in runs if r[0] == tier]
-            if len(own) >= self.fan_in:
-                files = max(1, math.ceil(sum(r[2] for r in own) / self.target))
-                merged = self._write(self._read(own).coalesce(files), tier + 1)
-                runs = [r for r in runs if r[0] != tier] + [merged]
-                gone += own
-            tier += 1
+        gone = []
+        while own := self._alike(runs):
+            runs = [r for r in runs if r not in own] + [self._merge(own)]
+            gone += own
+        # runs that were made and merged again within this call never were in a manifest, but are deleted alike
         if gone:
             at = self.commit(runs, at)
             self.vacuum(gone)
         return at
 
+    def _alike(self, runs: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+        """The smallest fan_in or more runs of like size, none if there are no such."""
+        runs = sorted(runs, key=lambda r: r[2])
+        for i, first in enumerate(runs):
+            own = [r for r in runs[i:] if r[2] <= LIKE * first[2]]
+            if len(own) >= self.fan_in:
+                return own
+        return []
+
+    def _merge(self, own: list[tuple[int, str, int]]) -> tuple[int, str, int]:
+        files = max(1, math.ceil(sum(r[2] for r in own) / self.target))
+        bounds = {"spark.sql.files.maxPartitionBytes": self.piece, "spark.sql.files.openCostInBytes": max(1, self.piece // 16)}
+        before = {k: self.spark.conf.get(k) for k in bounds}
+        try:
+            for k, v in bounds.items():
+                self.spark.conf.set(k, str(v))
+            return self._write(self._read(own).coalesce(files), 1 + max(t for t, _, _ in own))
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+
     def vacuum(self, runs: list[tuple[int, str, int]]) -> None:
         """Delete replaced runs; readers of earlier versions must have ended."""
         for _, run, _ in runs:

@@ -179,6 +179,34 @@ def test_sharding(spark, tmp_path):
     assert store.version() == at
 
 
+def test_merged_files_are_near_the_target(spark, tmp_path):
+    import glob
+    import os
+
+    noise = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f":{k}")), 256) for k in range(4)]).alias("text"))
+    target = 256 << 10
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target, fan_in=4)
+    for k in range(4):
+        store.append(noise.filter(F.col("doc_id") % 4 == k).coalesce(1))
+    store.compact()
+    ((tier, run, size),) = store.runs()
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/s/{run}/*.parquet")]
+    assert tier == 1 and size > 16 * target and abs(len(sizes) - size / target) < 2
+    assert max(sizes) < 1.5 * target and sorted(sizes)[1] > target / 2
+    assert store.read().count() == store.read().distinct().count() == 40_000
+
+
+def test_runs_of_unlike_size_are_not_merged(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 1 << 20, fan_in=4)
+    for n in (200_000, 10, 11, 12):
+        store.append(spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1))
+    store.compact()
+    assert [t for t, _, _ in store.runs()] == [0] * 4
+    store.append(spark.range(13).select(F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1))
+    store.compact()
+    assert sorted(t for t, _, _ in store.runs()) == [0, 1] and store.read().count() == 200_046
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Pieces()
