@@ -20,8 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    gone = save(exact_dedup.exact_dedup(docs).filter("NOT kept").select("doc_id").distinct(), "exact-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

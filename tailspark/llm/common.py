@@ -39,6 +39,15 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Name of the column that with_row_key() adds.
+ROW = "_row_key"
+
+
+def with_row_key(df: DataFrame, label: str) -> DataFrame:
+    """df, saved, with a long that differs from row to row and stays the same however often it is read."""
+    return save(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by save(); the caller no longer reads it."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

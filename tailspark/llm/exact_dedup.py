@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_values, save
+from .common import ROW, hot_values, save, with_row_key
 
 #: Deleted before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -17,8 +17,8 @@ def _dec(x: str):
     return F.lit(x).cast("decimal(38,0)")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; with row_col also row (its value) and n (code points).
 
     Texts are equal when identical without white space. Of a group the row with the most code points in its original text,
     then the smallest id, stays. Null text counts as empty; a null id loses every tie and is returned as null; repeated
@@ -30,9 +30,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Members find their group by 256 + 64 bits of digest; should two texts ever share these, the join uses the texts.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, "")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), norm.alias("norm"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), norm.alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
+    own = ["n", "row"] if row_col else []
     base = base.withColumns({"sha": F.sha2("norm", 256), "xx": F.xxhash64("norm")})
-    slim = save(base.select("id", "n", "sha", "xx"), "exact-slim")
+    slim = save(base.select("id", "n", "sha", "xx", *own[1:]), "exact-slim")
     hot = hot_values(slim.groupBy("sha").count(), "sha", slim.count())
     is_hot = F.col("sha").isin(hot) if hot else F.lit(False)
     win = F.col("n").cast("decimal(12,0)") * F.lit(_BASE).cast("decimal(20,0)") + F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col("id").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
@@ -59,7 +60,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = member.filter(~is_hot).join(groups.filter(~is_hot), on)
     if hot:  # at most 500 rows
         out = out.unionByName(member.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), on))
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"), *own)
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with all columns: the longest text, then the smallest id (null last), then any one.
+
+    Rows are dropped by a key of their own, so null and repeated ids are rows like others.
+    """
+    keyed = with_row_key(docs, "exact-keyed")
+    out = save(exact_dedup(keyed, id_col, text_col, row_col=ROW), "exact-rows").select("row", "n", "kept", "text_sha256")
+    kept = out.filter("kept")
+    first = kept.groupBy("text_sha256").agg(F.min(F.struct((-F.col("n")).alias("n"), "row")).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    again = kept.join(first, "text_sha256").filter(F.col("row") != F.col("first.row")).select("row")
+    gone = save(out.filter("NOT kept").select("row").unionByName(again), "exact-gone").withColumnRenamed("row", ROW)
+    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows, connected_components, save
+from .common import ROW, TwoGenerations, arrow_rows, connected_components, save, with_row_key
 
 #: Words per shingle, least similarity, sketches per text, and minimum shingles per sketch.
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 20, 5
@@ -202,6 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their class, with all columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(save(gone, "omh-gone").hint("merge"), id_col, "left_anti").select(docs.columns)
+    """One row of each class, with all columns: the one of the smallest id (null last), then any one.
+
+    Rows are compared and dropped by a key of their own, so null and repeated ids are rows like others.
+    """
+    keyed = with_row_key(docs, "omh-keyed")
+    out = save(near_duplicates(keyed, ROW, text_col).select(F.col("doc_id").alias(ROW), "class_id", "kept"), "omh-rows")
+    shared = out.filter("NOT kept").select("class_id").distinct()
+    member = out.join(shared, "class_id").join(keyed.select(ROW, F.col(id_col).alias("id")), ROW)
+    first = member.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", ROW)).alias("first"))
+    gone = save(member.join(first, "class_id").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW), "omh-gone")
+    return keyed.join(gone.hint("merge"), ROW, "left_anti").select(docs.columns)

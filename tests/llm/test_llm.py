@@ -382,6 +382,18 @@ def test_toxicity_on_unseen_spellings(spark):
     assert toxicity.toxicity(d.limit(0), lab.limit(0)).count() == 0
 
 
+def test_stages_drop_rows_not_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "x  y", "n"), (None, "x y", "n"), (None, "alone", "n"), (5, "same", "a"), (5, "same", "a"), (5, "same", "a"), (6, "same", "b"), (4, "copy", "a"), (7, "copy", "b"), (7, "unlike the copy", "b")]
+    out = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.exact(spark, docs(spark, rows), "").collect())
+    assert out == sorted([("None", "x  y"), ("None", "alone"), ("5", "same"), ("4", "copy"), ("7", "unlike the copy")])
+    near = [(None, long, "n"), (None, long + " more", "n"), (8, "text one", "a"), (8, "text one", "a"), (9, "b c d", "a"), (2, long + " z", "a"), (9, long + " y", "a"), (9, "other words", "b"), (None, None, "n"), (None, "", "n")]
+    out = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near(spark, docs(spark, near), "").collect())
+    assert out == sorted([("2", long + " z"), ("8", "text one"), ("9", "b c d"), ("9", "other words"), ("None", ""), ("None", "")])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
