@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def _word(w: str) -> int:
-    b = w.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
+    return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def shingles(words: np.ndarray, k: int = K) -> np.ndarray:

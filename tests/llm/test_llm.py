@@ -145,6 +145,11 @@ def test_order_minhash_misses_no_short_pair(spark):
     assert links > 500 and out == {i: root(i) for i in short} and out[2] == 1
 
 
+def test_word_hashes_have_64_bits():
+    hashes = [omh._word(f"{i:08x}") for i in random.Random(4).sample(range(16**8), 2000)]
+    assert len({h >> 32 ^ h & 0xFFFFFFFF for h in hashes}) > 1990  # two CRCs of words of one length differ by a constant
+
+
 def test_alignment_needs_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert omh.aligned(a, a) == 1 and omh.aligned(a, a[10:]) == 0.9
