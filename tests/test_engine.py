@@ -231,3 +231,18 @@ def test_quantile_queries_take_every_origin(spark, name):
         assert key(a) == key(b)
         for x, y in zip(a, b, strict=True):
             assert x == y or x == pytest.approx(y, abs=2e-6)
+
+
+def test_runs_have_whole_settings(spark, monkeypatch):
+    from tailspark.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    every = {r[0] for r in q.returns(spark, d).groupBy("series").count().filter(f"count > {q.W}").collect()}
+    assert len(every) > 1 and {r[0] for r in q.QUERIES["m10_e05_materialized"](spark, d).select("series").distinct().collect()} == every
+    seen = []
+    monkeypatch.setattr(q.wf, "walk_forward", lambda df, cfg: seen.append(cfg) or df)
+    monkeypatch.setattr(q.wf, "forecasts", lambda df: df)
+    monkeypatch.setattr(q.wf, "run_baselines", lambda df, cfg, models: seen.append(cfg) or (df, df))
+    q.QUERIES["e02_all_models"](spark, d)
+    q.QUERIES["e03_baseline_breaches"](spark, d)
+    assert [(c.refit_every, c.horizons) for c in seen] == [(21, (1, 5, 20))] * 2
