@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, hot_values, save, with_row_key
+from .common import Work, few, hot_values, with_row_key
 
 #: Deleted before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -33,7 +33,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), norm.alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
     own = ["n", "row"] if row_col else []
     base = base.withColumns({"sha": F.sha2("norm", 256), "xx": F.xxhash64("norm")})
-    slim = save(base.select("id", "n", "sha", "xx", *own[1:]), "exact-slim")
+    work = Work()
+    slim = work.save(base.select("id", "n", "sha", "xx", *own[1:]), "exact-slim")
     hot = hot_values(slim.groupBy("sha").count(), "sha", slim.count())
     is_hot = F.col("sha").isin(hot) if hot else F.lit(False)
     win = F.col("n").cast("decimal(12,0)") * F.lit(_BASE).cast("decimal(20,0)") + F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col("id").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
@@ -51,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max("win").alias("win"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("pieces"))
         )
 
-    groups = save(combined(False).select("sha", "xx", "win", "size", "pieces"), "exact-groups")
+    groups = work.save(combined(False).select("sha", "xx", "win", "size", "pieces"), "exact-groups")
     same = groups.groupBy("sha", "xx").agg(F.count(F.lit(1)).alias("texts"), F.max("pieces").alias("pieces"))
     on, member = ["sha", "xx"], slim
     if not same.filter((F.col("texts") > 1) | ((F.col("pieces") > 1) & ~is_hot)).isEmpty():
@@ -60,7 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = member.filter(~is_hot).join(groups.filter(~is_hot), on)
     if hot:  # at most 500 rows
         out = out.unionByName(member.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), on))
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"), *own)
+    out = out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"), *own)
+    return work.done(out, "exact")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +70,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are dropped by a key of their own, so null and repeated ids are rows like others.
     """
-    keyed = with_row_key(docs, "exact-keyed")
-    out = save(exact_dedup(keyed, id_col, text_col, row_col=ROW), "exact-rows").select("row", "n", "kept", "text_sha256")
+    work = Work()
+    keyed, row = with_row_key(docs, "exact-keyed")
+    out = exact_dedup(keyed, id_col, text_col, row_col=row).select("row", "n", "kept", "text_sha256")
     kept = out.filter("kept")
     first = kept.groupBy("text_sha256").agg(F.min(F.struct((-F.col("n")).alias("n"), "row")).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     again = kept.join(first, "text_sha256").filter(F.col("row") != F.col("first.row")).select("row")
-    gone = save(out.filter("NOT kept").select("row").unionByName(again), "exact-gone").withColumnRenamed("row", ROW)
-    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+    gone = work.done(out.filter("NOT kept").select("row").unionByName(again).withColumnRenamed("row", row), "exact-gone")
+    return keyed.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

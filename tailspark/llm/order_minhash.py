@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 
@@ -11,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, TwoGenerations, arrow_rows, connected_components, save, with_row_key
+from .common import TwoGenerations, Work, connected_components, few, join_hot, with_row_key
 
 #: Words per shingle, least similarity, sketches per text, and minimum shingles per sketch.
-K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 20, 5
-#: Texts of so many shingles or fewer also get keys that no pair of them can miss.
-SHORT = 25
+K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 32, 2
+#: Texts of so many shingles or fewer also get keys that no pair of them at CLOSE can miss.
+SHORT, CLOSE = 40, 0.9
+#: Texts, and words of texts, that one task compares (twice as many where two blocks meet).
+BLOCK, WORDS = 1024, 2_000_000
 _MIX = np.random.default_rng(20190703).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,6 +32,18 @@ def _word(w: str) -> int:
     return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """0 for the first of equal values, 1 for the second, and so on."""
+    out = np.zeros(len(h), np.int64)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    start = np.r_[True, s[1:] != s[:-1]]
+    if not start.all():
+        at = np.flatnonzero(start)
+        out[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
+    return out
+
+
 def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of the k-word shingles in text order, each labelled with its occurrence; shorter texts are one shingle."""
     if not len(words):
@@ -39,165 +52,231 @@ def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
     h = np.full(n, np.uint64(min(k, len(words))))
     for i in range(min(k, len(words))):
         h = _scramble(h * _P + words[i : i + n])
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    start = np.r_[True, s[1:] != s[:-1]]
-    if not start.all():
-        at = np.flatnonzero(start)
-        label = np.empty(n, np.uint64)
-        label[order] = (np.arange(n) - np.repeat(at, np.diff(np.r_[at, n]))).astype(np.uint64)
-        h = np.where(label > 0, _scramble(h + label * _P), h)
-    return h
+    label = occurrences(h).astype(np.uint64)
+    return np.where(label > 0, _scramble(h + label * _P), h)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """For each of SKETCHES orders, a hash of the PICKED least shingles, read in text order."""
+    """For each of SKETCHES orders, a hash of the order's number and the PICKED least shingles, read in text order."""
     picked = min(PICKED, len(h))
     r = _scramble(h[None, :] * _MIX[:, None])
     at = np.sort(np.argpartition(r, picked - 1, axis=1)[:, :picked], axis=1) if picked < len(h) else np.tile(np.arange(picked), (SKETCHES, 1))
-    out = np.full(SKETCHES, np.uint64(picked))
+    out = _MIX + np.uint64(picked)
     for i in range(picked):
         out = _scramble(out * _P + h[at[:, i]])
     return out
 
 
 def prefix(h: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The least shingles of a short text, so many that any text alike by `least` has one of them among its own least ones."""
-    return np.sort(h)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] if len(h) <= SHORT else h[:0]
+    """The least shingles of a short text, so many that a text alike by CLOSE in words, or by `least` in shingles, has one of
+    them among its own: an edited word changes K shingles at most."""
+    n = len(h)
+    if n > SHORT:
+        return h[:0]
+    edits = math.floor((n + K - 1) * (1 - CLOSE) / CLOSE + 1e-9)
+    return np.sort(h)[: max(K * edits + 1, n - math.ceil(least * n - 1e-9) + 1)]
+
 
+def allowed(n: int, m: int, least: float = SIMILARITY) -> int:
+    """Word edits between texts of n and m words that leave them alike by `least`: 1 - edits / the longer one's words."""
+    return math.floor((1 - least) * max(n, m) + 1e-9)
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Shingles matched in order over those of either text; matches lie in the band outside which `least` can't be reached.
 
-    Labelled shingles are unique within a text, so the longest common subsequence is a longest increasing run of positions.
+def distance(a: list[int], b: list[int], most: int) -> int:
+    """The edit distance of two word sequences if it is `most` or less, else most + 1.
+
+    Aligned in a band of `most` cells on either side of the diagonal, a column at a time: a column's vertical steps of the
+    band are the bits of two integers (+1 and -1), and the band moves down a bit per column.
     """
-    if len(a) > len(b):
-        a, b = b, a
-    need = least / (1 + least) * (len(a) + len(b))
-    order = np.argsort(a)
-    at = np.minimum(np.searchsorted(a, b, sorter=order), len(a) - 1)
-    i = order[at]
-    j = np.flatnonzero(a[i] == b)
-    i = i[j]
-    i = i[np.abs(i - j) <= len(b) - need + 1]
-    tails: list[int] = []
-    if len(i) and (np.diff(i) > 0).all():
-        common = len(i)
-    else:
-        for x in i.tolist():
-            p = bisect.bisect_left(tails, x)
-            if p == len(tails):
-                tails.append(x)
-            else:
-                tails[p] = x
-        common = len(tails)
-    return common / (len(a) + len(b) - common)
-
-
-def _words(memo: dict, text: str | None) -> np.ndarray:
-    words = (text or "").split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) if words else np.zeros(0, np.uint64)
+    lead, short = 0, min(len(a), len(b))
+    while lead < short and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < short - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    if not n or not m:
+        return max(n, m)
+    t = min(most, max(n, m))
+    where: dict[int, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    width = 2 * t + 1
+    mask, last = (1 << width) - 1, 1 << (width - 1)
+    # bit k of column j is row j - t + k; rows of 0 or less rise by one per column
+    up, down = mask & ~((1 << t) - 1), 0
+    score = t if n >= t else n
+    for j in range(1, m + 1):
+        eq, shift = where.get(b[j - 1], 0), j - t - 1
+        eq = (eq >> shift if shift >= 0 else eq << -shift) & mask
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = (down | ~(diagonal | up)) & mask, diagonal & up
+        if j + t <= n:
+            score += not diagonal & last
+        else:
+            k = n - j + t
+            score += (rise >> k & 1) - (fall >> k & 1)
+        up = (fall | ~((diagonal >> 1) | rise)) & mask
+        down = (diagonal >> 1) & rise & mask
+        if j + t >= n and score - (m - j) > most:
+            return most + 1
+    return min(score, most + 1)
+
+
+def alike(a: list[int], b: list[int], least: float = SIMILARITY) -> bool:
+    most = allowed(len(a), len(b), least)
+    return distance(a, b, most) <= most
 
 
 def _sketches(batches):
-    memo = TwoGenerations(_word, 200_000)
+    memo = TwoGenerations(_word)
     for b in batches:
-        ids, n, keys, out = [], [], [], []
-        for i, t in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-            w = _words(memo, t.as_py())
-            h = shingles(w)
-            ids.append(i)
-            n.append(len(h))
-            x = _scramble(w + np.arange(len(w), dtype=np.uint64) * _P)
-            keys.append(f"{len(w):x}:{int(x.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(_scramble(x + _P))) if len(x) else 0:016x}")
-            out.append(np.r_[sketch(h), prefix(h)].view(np.int64) if len(h) else np.zeros(0, np.int64))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        offsets = np.r_[0, np.cumsum([len(o) for o in out])].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "key", "sk"])
-
-
-class _Links:
-    """Verified links within one block pair: only pairs that share a sketch, or are short, and aren't joined yet are looked at."""
-
-    def __init__(self, ids: list[int], texts: list[str], side: list[int]):
-        memo = TwoGenerations(_word, 200_000)
-        self.ids, self.side = ids, np.array(side)
-        self.h = [shingles(_words(memo, t)) for t in texts]
-        self.n = np.array([len(x) for x in self.h])
-        self.s = np.stack([sketch(x) for x in self.h])
-        values, flat = np.unique(np.concatenate(self.h), return_inverse=True)
-        self.flat, self.start, self.values = flat, np.r_[0, np.cumsum(self.n)], len(values)
-        self.comp = np.arange(len(ids))
-
-    def edges(self):
-        mark = np.zeros(self.values, bool)
-        for x in range(len(self.ids)):
-            c = np.arange(x + 1, len(self.ids))
-            if self.side.any():  # blocks a and b: links within a block are found elsewhere
-                c = c[self.side[c] != self.side[x]]
-            c = c[(self.comp[c] != self.comp[x]) & (np.minimum(self.n[c], self.n[x]) >= SIMILARITY * np.maximum(self.n[c], self.n[x]))]
-            c = c[(self.s[c] == self.s[x]).any(axis=1) | (np.maximum(self.n[c], self.n[x]) <= SHORT)]
-            if not len(c):
+        for first in range(0, len(b), 512):
+            yield _sketched(memo, b.slice(first, 512))
+
+
+def _sketched(memo: dict, b: pa.RecordBatch) -> pa.RecordBatch:
+    n, size, keys, out = [], [], [], []
+    for t in b.column("text"):
+        words = (t.as_py() or "").split()
+        w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) if words else np.zeros(0, np.uint64)
+        h = shingles(w)
+        n.append(len(h))
+        size.append(len(w))
+        x = _scramble(w + np.arange(len(w), dtype=np.uint64) * _P)
+        keys.append(f"{len(w):x}:{int(x.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(_scramble(x + _P))) if len(x) else 0:016x}")
+        out.append(np.unique(np.r_[sketch(h), _scramble(prefix(h) + _P)]).view(np.int64) if len(h) else np.zeros(0, np.int64))
+    flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+    offsets = np.r_[0, np.cumsum([len(o) for o in out])].astype(np.int32)
+    return pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "words", "key", "sk"])
+
+
+def _numbered(texts: list[str | None]) -> tuple[list[list[int]], list[np.ndarray]]:
+    """The texts as numbers of their words, and the same labelled by occurrence, so that a common value is a common word."""
+    number: dict[str, int] = {}
+    lists = [[number.setdefault(w, len(number)) for w in (t or "").split()] for t in texts]
+    out = []
+    for x in lists:
+        a = np.array(x, np.int64)
+        out.append(a + occurrences(a) * len(number))
+    return lists, out
+
+
+def _star(t: pa.Table) -> pa.Table:
+    """Links of members with the center of their bucket; an id may come with several texts."""
+    ids, side = t.column("id").to_pylist(), t.column("side").to_pylist()
+    lists, bags = _numbered(t.column("text").to_pylist())
+    found = set()
+    for c in [i for i, s in enumerate(side) if s == 0]:
+        bag = np.sort(bags[c])
+        for x in [i for i, s in enumerate(side) if s == 1]:
+            n, m = len(lists[c]), len(lists[x])
+            most = allowed(n, m)
+            if abs(n - m) > most or not m or ids[x] in found:
                 continue
-            own = self.flat[self.start[x] : self.start[x + 1]]
-            mark[own] = True
-            sizes = self.n[c]
-            at = np.repeat(self.start[c] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-            both = np.add.reduceat(mark[self.flat[at]].astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-            mark[own] = False
-            for y in c[both >= SIMILARITY * (self.n[x] + sizes - both)].tolist():
-                if self.comp[x] != self.comp[y] and aligned(self.h[x], self.h[y]) >= SIMILARITY:
-                    self.comp[self.comp == self.comp[y]] = self.comp[x]
-                    yield self.ids[x], self.ids[y]
-
-
-def _verify(t: pa.Table) -> pa.Table:
-    rows = sorted(zip(t.column("id").to_pylist(), t.column("text").to_pylist(), t.column("side").to_pylist(), strict=True), key=lambda r: (r[2], r[0]))
-    found = list(_Links(*map(list, zip(*rows, strict=True))).edges()) if len(rows) > 1 else []
+            at = np.minimum(np.searchsorted(bag, bags[x]), n - 1)
+            if int((bag[at] == bags[x]).sum()) >= max(n, m) - most and distance(lists[c], lists[x], most) <= most:
+                found.add(ids[x])
+    center = t.column("center")[0].as_py()
+    return pa.table({"src": pa.array(sorted(found), pa.int64()), "dst": pa.array([center] * len(found), pa.int64())})
+
+
+def _bucket(t: pa.Table) -> pa.Table:
+    """Links between labels of one bucket, or of two blocks of it: pairs that other links join aren't looked at."""
+    order = np.lexsort((t.column("id").to_numpy(), t.column("side").to_numpy()))
+    t = t.take(pa.array(order))
+    side, label = t.column("side").to_numpy(), t.column("label").to_numpy()
+    lists, bags = _numbered(t.column("text").to_pylist())
+    names, comp = np.unique(label, return_inverse=True)
+    n = np.array([len(x) for x in lists])
+    values, flat = np.unique(np.concatenate(bags), return_inverse=True)
+    start, mark, found = np.r_[0, np.cumsum(n)], np.zeros(len(values), bool), []
+    for x in range(len(lists)):
+        c = np.arange(x + 1, len(lists))
+        if side.any():  # blocks a and b: links within a block are found elsewhere
+            c = c[side[c] != side[x]]
+        longer = np.maximum(n[c], n[x])
+        common = longer - np.floor((1 - SIMILARITY) * longer + 1e-9)
+        c, common = (v[(comp[c] != comp[x]) & (np.minimum(n[c], n[x]) >= common)] for v in (c, common))
+        if not len(c):
+            continue
+        own, sizes = flat[start[x] : start[x + 1]], n[c]
+        mark[own] = True
+        first = np.cumsum(sizes) - sizes
+        both = np.add.reduceat(mark[flat[np.repeat(start[c] - first, sizes) + np.arange(sizes.sum())]].astype(np.int64), first)
+        mark[own] = False
+        for y in c[both >= common].tolist():
+            if comp[x] != comp[y] and alike(lists[x], lists[y]):
+                found.append((int(label[x]), int(label[y])))
+                comp[comp == comp[y]] = comp[x]
     return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id reachable by links), kept (doc_id = class_id), shingles.
 
-    Two texts link when a sketch agrees and their five-word shingles, aligned in order, are alike by 0.8 or more. Words are
-    what white space parts. Texts with the same words are copies: one class whatever their length; a text without words (or
-    null) is alone in its class. Null ids are given class null and stay. A sketch agrees with probability s**5 in long texts and
-    a little less in shorter ones, so that all 20 miss a pair at 0.8 with probability 0.0004 to 0.0009, one at 0.9 practically
-    never; pairs of texts of at most SHORT shingles each are never missed; there is no cap on candidates.
-
-    Plan: one pass makes (id, count, key, sketches and the short texts' prefixes); equal keys collapse, so copies are never paired. Sketch buckets join
-    their members to a star, and the stars' components (not links yet) are the families in which all candidates lie. Texts
-    of families of two or more go to their family; families beyond `block` texts are dealt into blocks and all pairs of
-    blocks, so a task holds two blocks at most. Within a task, pairs that share a sketch or are short are checked by exact shingle overlap
-    and then aligned, except where links already join them; so a task returns a forest, and no pairs leave it.
+    Two texts link when one of their sketches (or short keys) agrees and their word sequences, aligned in a band, are alike by
+    0.8 or more: one less the edited words over the longer text's words. Words are what white space parts. Texts with the same
+    words are copies: one class whatever their length; a text without words (or null) is alone in its class. Null ids are given
+    class null and stay; rows of one id are one document, linked where any of its texts is. An empty table gives no rows; other
+    columns are ignored, whatever their names.
+
+    A sketch is the two least of a text's five-word shingles under one of 32 orders, in the order of the text; it agrees with
+    probability s**2 for a share s of common shingles. Of pairs with 10 % of their words replaced (s = 0.42) 0.997 meet in one
+    of 32, with 20 % (s = 0.2) 0.72; texts of at most SHORT shingles have keys that miss no pair at 0.9 or more.
+    There is no cap on candidates.
+
+    Plan: one pass makes (id, counts, key, sketches); equal keys collapse, so copies are never paired. The smallest id of each
+    bucket is its center; members are aligned with their centers first, in groups of at most BLOCK texts, and the links'
+    components label them. Only buckets that then still hold two labels are compared within, between texts of unlike labels, in
+    blocks (and pairs of blocks) of at most BLOCK texts. Texts that share no bucket never move, if the others' ids are few
+    enough to be broadcast; else each text moves once.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    work = Work()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = save(texts.mapInArrow(_sketches, "id long, n int, key string, sk array<long>"), "omh-sketch")
-    rep = save(sk.filter("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min(F.struct("id", "n", "sk")).alias("r")).select("key", "r.*"), "omh-reps")
-    bands = rep.select("id", F.posexplode("sk").alias("band", "value")).withColumn("band", F.least("band", F.lit(SKETCHES)))
-    stars = bands.groupBy("band", "value").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    near = bands.join(stars, ["band", "value"]).filter("id != dst").select(F.col("id").alias("src"), "dst").distinct()
-    family = save(connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("family")), "omh-families")
-    sizes = family.groupBy("family").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    sk = work.save(texts.mapInArrow(_sketches, "id long, n int, words int, key string, sk array<long>"), "omh-sketch")
+    copies = sk.filter("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min(F.struct("id", "n", "words", "sk")).alias("r"), F.count(F.lit(1)).alias("rows"))
+    rep = work.save(copies.select("key", "rows", "r.*"), "omh-reps")
+    bands = rep.select("id", "words", F.explode("sk").alias("value"))
+    stars = work.save(bands.groupBy("value").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "omh-stars")
+    member = work.save(join_hot(bands, stars, "value", (SKETCHES + SHORT) * rep.count()), "omh-members")
+    held = work.save(texts.join(few(work.save(member.select("id").distinct(), "omh-ids")), "id", "left_semi"), "omh-texts")
+
+    pairs = member.filter("id != center").select("center", "id", "words").distinct()
+    sizes = pairs.groupBy("center").agg(_blocks().alias("salts"))
+    leaves = pairs.join(sizes, "center").select("id", "center", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    roots = sizes.select(F.col("center").alias("id"), "center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    sent = leaves.unionByName(roots).join(held, "id")
+    links = work.save(sent.groupBy("center", "salt").applyInArrow(_star, "src long, dst long"), "omh-links")
+    label = work.save(connected_components(links, work), "omh-labels").withColumnRenamed("node", "id")
+
+    labelled = work.save(member.join(label, "id", "left").select("value", "id", "words", F.coalesce("component", "id").alias("label")), "omh-labelled")
+    open_ = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), _blocks().alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("low != high")
+    inside = join_hot(labelled, open_.select("value", "blocks", "rows"), "value", labelled.count())
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.explode(
         F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("a"), F.greatest(x, F.col("own")).alias("b"), (F.col("own") > x).cast("int").alias("side")))
         )
     )
-    member = family.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a repeated id with other texts keeps each of them in the family
-    held = texts.join(member.select("id", "family", "blocks", "own").hint("merge"), "id").dropDuplicates(["id", "text"])
-    dealt = held.select("id", "text", "family", pair.alias("p")).select("id", "text", "family", "p.*")
-    links = dealt.groupBy("family", "a", "b").applyInArrow(_verify, "src long, dst long")
-    label = connected_components(save(links, "omh-links"))
-    to = rep.select("key", F.col("id").alias("node")).join(label, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
-    # n = 0 and null ids stand alone; keys are joined once more with their members, hot ones split by AQE
+    dealt = inside.select("value", "id", "label", pair.alias("p")).select("value", "id", "label", "p.*").join(held, "id")
+    joined = work.save(dealt.groupBy("value", "a", "b").applyInArrow(_bucket, "src long, dst long"), "omh-joined")
+    upper = work.save(connected_components(joined, work), "omh-upper").select(F.col("node").alias("component"), F.col("component").alias("class"))
+
+    to = rep.select("key", "rows", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    to = to.join(few(upper), "component", "left").select("key", "rows", F.coalesce("class", "component").alias("class_id"))
+    named = sk.filter("id IS NOT NULL AND n > 0").select("id", "n", "key")
     alone = sk.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("class_id"))
-    out = sk.filter("id IS NOT NULL AND n > 0").join(to, "key").select("id", "n", "class_id").unionByName(alone)
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.col("n").cast("long").alias("shingles"))
+    out = join_hot(named, to, "key", sk.count()).select("id", "n", "class_id").unionByName(alone)
+    return work.done(out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.col("n").cast("long").alias("shingles")), "omh")
+
+
+def _blocks():
+    """Blocks of a group, by its rows and their words."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("words") / WORDS)).cast("int")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,10 +284,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are compared and dropped by a key of their own, so null and repeated ids are rows like others.
     """
-    keyed = with_row_key(docs, "omh-keyed")
-    out = save(near_duplicates(keyed, ROW, text_col).select(F.col("doc_id").alias(ROW), "class_id", "kept"), "omh-rows")
-    shared = out.filter("NOT kept").select("class_id").distinct()
-    member = out.join(shared, "class_id").join(keyed.select(ROW, F.col(id_col).alias("id")), ROW)
-    first = member.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", ROW)).alias("first"))
-    gone = save(member.join(first, "class_id").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW), "omh-gone")
-    return keyed.join(gone.hint("merge"), ROW, "left_anti").select(docs.columns)
+    work = Work()
+    keyed, row = with_row_key(docs, "omh-keyed")
+    out = work.save(near_duplicates(keyed, row, text_col).select(F.col("doc_id").alias("row"), "class_id", "kept"), "omh-rows")
+    shared = out.filter("NOT kept").groupBy("class_id").agg((F.count(F.lit(1)) + 1).alias("rows"))
+    ids = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    member = join_hot(out, shared, "class_id", out.count()).join(ids, "row")
+    first = member.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    gone = work.done(join_hot(member, first, "class_id", out.count()).filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)), "omh-gone")
+    return keyed.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
