@@ -49,4 +49,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_exact_dedup, op4_order_minhash, op5_sharding, op6_nbest_pieces, op7_secrets, op8_cover_tree, op9_token_counts, op10_toxicity)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op7_secrets": secrets.ORACLE, "op8_cover_tree": cover_tree.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_warc": warc.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op7_secrets": secrets.ORACLE, "op8_cover_tree": cover_tree.ORACLE}
