@@ -25,7 +25,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     s = s.withColumns({
         "capped": F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "open": F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)),
+        "open": F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     })
     s = s.withColumn("level", (F.col("total") * F.lit(float(share)) - F.col("capped")) / F.col("open"))
     s = s.withColumn("at", F.max(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))).over(Window.partitionBy()))
@@ -36,10 +36,12 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     """The measured rows, and in column `row` the whole row of docs if `carry`."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *row)
+    # rows of one size and id are told apart by their contents, so that reruns take the same
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), tie.alias("tie"), *row)
     salts = max(1, -(-docs.count() // stratum))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    slim = slim.withColumns({"key": key, "grade": -F.floor(F.log2(F.col("size") + 1.0) * 8), "salt": F.pmod(F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / 7), F.lit(salts))})
+    slim = slim.withColumns({"key": key, "grade": -F.floor(F.log2(F.col("size") + 1.0) * 8), "salt": F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")), 1, 8), 16, 10).cast("long"), F.lit(salts))})
     if not carry:
         slim = save(slim, "mix-slim")
     counts = save(slim.groupBy("key", "grade", "salt").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")), "mix-strata")
@@ -48,7 +50,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     strata = counts.withColumn("first", F.coalesce(F.sum("rows").over(place), F.lit(0))).withColumn("u", offset)
     targets = source_targets(counts).withColumn("key", key).drop("source")
     strata = strata.join(targets, "key").select("key", "grade", "salt", "first", "u", "source_size", "target")
-    nth = F.row_number().over(Window.partitionBy("key", "grade", "salt").orderBy(F.col("size").desc(), F.col("doc_id"))) - 1
+    nth = F.row_number().over(Window.partitionBy("key", "grade", "salt").orderBy(F.col("size").desc(), F.col("doc_id"), F.col("tie"))) - 1
     j = slim.withColumn("nth", nth).join(strata, ["key", "grade", "salt"])
     j = j.withColumns({"rate": F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(F.lit(0.0)), "i": F.col("first") + F.col("nth")})
     copies = F.floor(F.col("u") + (F.col("i") + 1) * F.col("rate")) - F.floor(F.col("u") + F.col("i") * F.col("rate"))
@@ -61,7 +63,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Expected copies are target/source_size for each document of a source. Documents of a source line up by size (so that
     taken words follow the target), expected copies are summed along the line, one offset from the seed and the source is
     added, and a document is emitted once for each integer its interval passes; none is emitted over ceil(2) times. Null
-    text has size 0; a null source is a source of its own; repeated rows are dealt separately; reruns agree.
+    text has size 0; a null source is a source of its own; repeated rows are dealt separately; reruns agree. An empty table
+    gives no rows; other columns are ignored (emit() keeps them), whatever their names.
 
     Plan: the prefix sum is two-level: rows are counted by stratum (source, an eighth of an octave of size, salt; salts in
     proportion to the table), strata are summed along their source, and rows are numbered within their stratum. So a source
@@ -79,7 +82,7 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-e AS (SELECT *, -floor(log2(size + 1.0) * 8) AS grade, floor(coalesce(doc_id, 0) / 7) % (SELECT greatest(1, ceil(count(*) / 20000.0)) FROM d) AS salt FROM d),
+e AS (SELECT *, -floor(log2(size + 1.0) * 8) AS grade, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 8) AS BIGINT) % (SELECT CAST(greatest(1, ceil(count(*) / 20000.0)) AS BIGINT) FROM d) AS salt FROM d),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
   CAST(source_size * 2 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),

@@ -29,8 +29,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and gives no spans; null or repeated ids keep a row each; other columns are ignored.
 
     Plan: one scan writes (row, id, text where it may match); matching texts explode into pieces between matches, whose
-    running lengths give offsets; the interval join is a window of nearest ends and starts per text and role, so that its
-    work is linear in the parts and no pairs are built.
+    running lengths give offsets; the interval join is two running windows per text (latest end before, earliest start behind),
+    so that its work is linear in the parts but for their sort, and no pairs are built. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = save(
@@ -51,8 +51,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = found.select("rid", F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(base).alias("base"), (F.col("end") - F.col("len")).alias("start"), "end")
         parts = found if parts is None else parts.unionByName(found)
 
-    w = Window.partitionBy("rid").orderBy("start", "end", "k")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # both frames grow by one part a row: one runs forward, the other backward
+    before = Window.partitionBy("rid").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("end"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(cond, reach: int):
         """Whether a part that meets cond ends at most `reach` before this one, or starts at most so far behind it."""
@@ -107,8 +108,9 @@ def _oracle(scope: int = 200) -> str:
         return f"""(coalesce(start - max(CASE WHEN {cond} THEN "end" END) {before} <= {reach}, false) OR coalesce(min(CASE WHEN {cond} THEN start END) {after} - "end" <= {reach}, false))"""
 
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({found}),
-q AS (SELECT *, {near("base", -1)} AS in_base, {near("role = 'id'", scope)} AS by_id, {near("role = 'secret' AND base", scope)} AS by_secret
-  FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", k)),
+n AS (SELECT *, {near("base", -1)} AS in_base, {near("role = 'id'", scope)} AS by_id FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", k)),
+m AS (SELECT *, role = 'secret' AND (base OR (NOT in_base AND by_id)) AS told FROM n),
+q AS (SELECT *, {near("told", scope)} AS by_secret FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", k)),
 r AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS s FROM q
   WHERE base OR (NOT in_base AND CASE role WHEN 'id' THEN by_secret WHEN 'secret' THEN by_id ELSE by_id AND by_secret END)),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
