@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, TwoGenerations, arrow_rows
+from .common import TOKENIZERS, TwoGenerations
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
@@ -85,9 +85,9 @@ class Pieces:
             return [i]
         return [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
 
-    def forward(self, word: str) -> tuple[list[float], list[int], list[float]]:
-        """Best score of each prefix, where its last piece starts, and how far another last piece falls behind."""
-        best, back, second = [0.0], [0], [math.inf]
+    def forward(self, word: str) -> tuple[array, array, array]:
+        """Best score of each prefix, where its last piece starts, and how far another last piece falls behind: 20 bytes a character."""
+        best, back, second = array("d", [0.0]), array("i", [0]), array("d", [math.inf])
         tail, byte_score = self.tail.get, self.byte_score
         word = " " + word[1:]
         for end in range(1, len(word) + 1):  # starts go down, the leftmost wins a tie
@@ -115,19 +115,19 @@ class Pieces:
         """Ids of the best segmentation as int32 bytes, its score, and the second best one's distance."""
         word = " " + word[1:]
         best, back, second = self.forward(word)
-        ids, end, gap, find = [], len(word), math.inf, self.id.get
-        cuts = []
+        ids, end, gap, find = array("i"), len(word), math.inf, self.id.get
         while end > 0:
             start = back[end]
-            cuts.append((start, end))
-            ids.append(find(word[start:end]))
+            i = find(word[start:end])
+            if i is None:
+                ids.extend(reversed(self.spell(word, start, end)))
+            else:
+                ids.append(i)
             if second[end] < gap:
                 gap = second[end]
             end = start
         ids.reverse()
-        if None in ids:
-            ids = [i for a, b in reversed(cuts) for i in self.spell(word, a, b)]
-        return array("i", ids).tobytes(), best[-1], gap
+        return ids.tobytes(), best[-1], gap
 
     @functools.cached_property
     def trie(self) -> Trie:
@@ -312,13 +312,14 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts by their distinct words; words' results are kept in a bounded memo."""
 
-    def __init__(self, pieces: Pieces, n: int = 4, cap: int = 200_000):
+    def __init__(self, pieces: Pieces, n: int = 4):
         self.pieces, self.n = pieces, n
-        self.memo = TwoGenerations(None, cap)
-        self.more = TwoGenerations(lambda w: pieces.n_best(" " + w, n), 2_000)
+        self.memo = TwoGenerations(None)
+        self.more = TwoGenerations(lambda w: pieces.n_best(" " + w, n), 30_000)
 
-    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """Ids of the texts' best segmentations one after another, where each text's begin, and scores of the n best ones.
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[list[dict]]]]:
+        """Ids of the texts' best segmentations one after another, where each text's begin, and for each text the scores of the
+        n best ones and what each changes in the best: at, drop (ids from `at` on that go), ids (that come in their place).
 
         The lattice splits between units (`words`), so a distinct one is segmented once and its ids are copied to wherever it stands.
         """
@@ -328,33 +329,42 @@ class Encoder:
         scores, gaps = np.array(scores), np.array(gaps)
         sizes = size[at]
         out = flat[ranges((np.cumsum(size) - size)[at], sizes)]
-        offsets = np.r_[0, np.cumsum(sizes)][begin]
-        best = [self.scores(words, at[a:b], math.fsum(scores[at[a:b]].tolist()), gaps[at[a:b]]) for a, b in itertools.pairwise(begin.tolist())]
-        return out, offsets, best
-
-    def scores(self, words: list[str], at: np.ndarray, best: float, near: np.ndarray) -> list[float]:
-        """Scores of the n best segmentations of a text of the words `at`, whose second choices fall behind by `near`.
+        ends = np.r_[0, np.cumsum(sizes)]
+        best, changes = [], []
+        for a, b in itertools.pairwise(begin.tolist()):
+            s, c = self.n_best(words, at[a:b], math.fsum(scores[at[a:b]].tolist()), gaps[at[a:b]], ids, ends[a : b + 1] - ends[a])
+            best.append(s)
+            changes.append(c)
+        return out, ends[begin], best, changes
+
+    def n_best(self, words: list[str], at: np.ndarray, best: float, near: np.ndarray, ids: tuple[bytes, ...], place: np.ndarray) -> tuple[list[float], list[list[dict]]]:
+        """The n best segmentations of a text of the words `at`, whose second choices fall behind by `near`, and whose best ids
+        begin at `place`: their scores and their changes.
 
         A text's segmentations are products of its words' ones. Only the n-1 words whose second choice is nearest can differ
         from their best among the n best, so the search over the whole lattice runs over these words' n-best lists.
         """
         k = min(self.n - 1, len(at))
-        if k:
-            chosen = np.argpartition(near, k - 1)[:k] if k < len(at) else np.arange(k)
-            lists = [self.more[words[w]] for w in at[chosen[np.isfinite(near[chosen])]].tolist()]
-        else:
-            lists = []
+        chosen = np.sort(np.argpartition(near, k - 1)[:k]) if 0 < k < len(at) else np.arange(k)
+        chosen = chosen[np.isfinite(near[chosen])].tolist()
+        lists = []
+        for w in chosen:
+            own, found = array("i", ids[at[w]]).tolist(), self.more[words[at[w]]]
+            # the best one comes first, also among others of its score
+            rest = [x for x in found if x[1] != own]
+            lists.append([(found[0][0], own), *rest[: len(found) - 1]])
         behind = [[x[0][0] - s for s, _ in x] for x in lists]
-        out = []
+        scores, changes = [], []
         heap, seen = [(0.0, (0,) * len(behind))], {(0,) * len(behind)}
-        while heap and len(out) < self.n:
+        while heap and len(scores) < self.n:
             cost, ranks = heapq.heappop(heap)
-            out.append(best - cost)
+            scores.append(best - cost)
+            changes.append([{"at": int(place[w]), "drop": int(place[w + 1] - place[w]), "ids": x[r][1]} for w, x, r in zip(chosen, lists, ranks, strict=True) if r])
             for i, r in enumerate(ranks):
                 if r + 1 < len(behind[i]) and (to := (*ranks[:i], r + 1, *ranks[i + 1 :])) not in seen:
                     seen.add(to)
                     heapq.heappush(heap, (cost - behind[i][r] + behind[i][r + 1], to))
-        return out
+        return scores, changes
 
 
 @functools.lru_cache(maxsize=1)
@@ -366,35 +376,56 @@ def encoder(model: str, n: int) -> Encoder:
 @functools.lru_cache(maxsize=1)
 def counter(model: str) -> TwoGenerations:
     """The memo of token counts of this worker process."""
-    return TwoGenerations(TokenTrie(Pieces(model)).count, 200_000)
+    return TwoGenerations(TokenTrie(Pieces(model)).count)
+
+
+CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
 def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MODEL, round_trip: bool = True) -> DataFrame:
-    """docs with piece_ids array<int> (the best segmentation), nbest_scores array<double> (best first, at most n), and
-    decoded_ok (whether decoding gives the text back; null unless round_trip). Null text counts as empty: one blank, so one
-    piece. Every whole text is one lattice; other columns pass through, nulls and repeated rows included."""
+    """docs with piece_ids array<int> (the best segmentation), nbest_scores array<double> (best first, at most n), nbest_changes
+    (for each of these the words it segments otherwise: array of at, drop, ids; none for the best; n_best_ids() makes whole
+    ones), and decoded_ok (whether decoding gives the text back; null unless round_trip).
+
+    Null text counts as empty: one blank, so one piece. Every whole text is one lattice, however long; other columns pass
+    through, nulls and repeated rows included, but for those of the new columns' names, which are replaced. An empty table
+    gives no rows. The scores are -ln(rank + 2), because the public file is a BPE one and has no unigram scores.
+    """
     from pyspark.sql import types as T
 
-    arrow_rows(docs.sparkSession)
-    names = ["piece_ids", "nbest_scores", "decoded_ok"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("decoded_ok", T.BooleanType())])
+    names = ["piece_ids", "nbest_scores", "nbest_changes", "decoded_ok"]
+    docs = docs.drop(*[x for x in names if x != text_col])
+    change = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    types = [T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(change)), T.BooleanType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(*x) for x in zip(names, types, strict=True)]])
 
     def run(batches):
         made = encoder(model, n)
         for batch in batches:
             for rows, texts in sliced(batch, text_col):
-                flat, offsets, scores = made.many(texts)
+                flat, offsets, scores, changes = made.many(texts)
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 ok = pc.equal(made.pieces.spelling(flat, offsets), texts.cast(pa.large_binary())) if round_trip else pa.nulls(len(texts), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(scores, pa.list_(pa.float64())), ok], [*rows.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(scores, pa.list_(pa.float64())), pa.array(changes, CHANGES), ok], [*rows.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
+def n_best_ids():
+    """Column of an encoded table: the ids of its n best segmentations, best first, array<array<int>>."""
+
+    def spliced(changes):
+        last_first = F.sort_array(changes, asc=False)  # the later ones first, so that the others' places hold
+        return F.aggregate(last_first, F.col("piece_ids"), lambda ids, c: F.concat(F.slice(ids, 1, c["at"]), c["ids"], F.slice(ids, c["at"] + c["drop"] + 1, F.size(ids))))
+
+    return F.transform("nbest_changes", spliced)
+
+
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
-    """encoded with the text that its ids spell; null ids give null."""
+    """encoded with the text that its ids spell (in place of a column of that name); null ids give null."""
     from pyspark.sql import types as T
 
+    encoded = encoded.drop(out_col)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
@@ -424,6 +455,8 @@ class TokenTrie:
     def count(self, word: str) -> int:
         """Pieces of the best segmentation of a blank and word."""
         word = " " + word
+        if len(word) > TwoGenerations.LONGEST:  # a path of its own, which would fill the trie
+            return len(self.pieces.best(word)[0]) >> 2
         if len(self.best) > self.cap:
             self.reset()
         child, best, taken, tail = self.child, self.best, self.taken, self.pieces.tail.get
@@ -457,10 +490,11 @@ class TokenTrie:
 
 def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """docs with n_tokens and n_pretokens (longs): pre-tokens are what single blanks part, tokens the pieces of the
-    text's best segmentation. Null text counts as empty: one pre-token, one token. Whole texts; other columns pass through."""
+    text's best segmentation. Null text counts as empty: one pre-token, one token. Whole texts, however long; other columns
+    pass through, but for those of the new columns' names, which are replaced; an empty table gives no rows."""
     from pyspark.sql import types as T
 
-    arrow_rows(docs.sparkSession)
+    docs = docs.drop(*{"n_tokens", "n_pretokens"} - {text_col})
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_pretokens", T.LongType())])
 
     def run(batches):
@@ -476,6 +510,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) ->
 
 
 def digest_columns(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids joined by commas), nbest_scores, decoded_ok."""
+    """doc_id, n_pieces, ids_sha256 (of the ids joined by commas), nbest_scores, nbest_sha256 (of the changes as JSON), decoded_ok."""
     ids = F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256)
-    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), "nbest_scores", "decoded_ok")
+    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), "nbest_scores", F.sha2(F.to_json("nbest_changes"), 256).alias("nbest_sha256"), "decoded_ok")

@@ -6,13 +6,14 @@ import math
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows
+from .common import TwoGenerations, remove, save
 
 #: Character n-grams of a word between marks, hashed into so many vectors.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
@@ -53,21 +54,23 @@ class ToxicityModel:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     @classmethod
-    def train(cls, texts: list[str], labels: list[int], epochs: int = 50, rate: float = 0.05, decay: float = 2e-5, least: int = 5, seed: int = 3) -> ToxicityModel:
-        """Full-batch Adam on embeddings and softmax together; classes are weighted alike. Without both classes: score 0 or 1's share."""
-        y = np.array(labels, float)
-        if not len(y) or y.min() == y.max():
-            return cls(np.zeros(BUCKETS), 8.0 if len(y) and y[0] else -8.0)
+    def train(cls, rows: Iterable[tuple[str | None, int]], epochs: int = 50, rate: float = 0.05, decay: float = 2e-5, least: int = 5, seed: int = 3) -> ToxicityModel:
+        """Full-batch Adam on embeddings and softmax together; classes are weighted alike. Without both classes: score 0 or 1's share.
+
+        rows of (text, label) are taken one by one and kept as numbers of words only; texts without words teach nothing.
+        """
         ids: dict[str, int] = {}
-        packed, counts = array("i"), []
-        for t in texts:  # text by text, so that no list of all words is held
-            words = words_of((t or "").lower())
+        packed, counts, labels = array("i"), [], []
+        for text, label in rows:
+            labels.append(label)
+            words = words_of((text or "").lower())
             packed.extend([ids.setdefault(w, len(ids)) for w in words])
             counts.append(len(words))
-        tokens, dlen = np.array(packed, np.int32), np.array(counts)
-        y, dlen = y[dlen > 0], dlen[dlen > 0]
-        if not len(y) or y.min() == y.max():
-            return cls(np.zeros(BUCKETS), 8.0 if len(y) and y[0] else -8.0)
+        tokens, dlen, y = np.array(packed, np.int32), np.array(counts, np.int64), np.array(labels, float)
+        if (dlen > 0).any():
+            y, dlen = y[dlen > 0], dlen[dlen > 0]
+        if not len(y) or y.min() == y.max() or not len(tokens):
+            return cls(np.zeros(BUCKETS), 8.0 if len(y) and y.min() > 0 else -8.0)
         packed, sizes = array("i"), array("i")
         for word in ids:
             g = subwords(word)
@@ -104,14 +107,14 @@ class ToxicityModel:
                 p -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-7)
         return cls(np.where(often, e @ (w[1] - w[0]), 0), float(bias[1] - bias[0]))
 
-    def scorer(self, cap: int = 200_000):
+    def scorer(self):
         weights, bias = self.weights, self.bias
 
         def value(word: str) -> float:
             g = subwords(word)
             return float(weights[g].sum()) / len(g)
 
-        memo = TwoGenerations(value, cap)
+        memo = TwoGenerations(value)
 
         def score(text: str | None) -> float:
             words = words_of((text or "").lower())
@@ -131,23 +134,28 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1500) -> ToxicityModel:
     """Train on at most `most` rows labelled 1 and twice as many labelled 0 (those with the smallest hash of their id), never held-out ones.
 
-    Labels other than 0 and 1 are left out; of ids labelled twice the larger label counts.
+    Labels other than 0 and 1 are left out; of ids labelled twice the larger label counts; of an id with several texts the
+    least one teaches. So 3*most texts at most come to the driver, a partition at a time in the order of their ids, and are
+    kept there as word numbers. Empty tables give a model that scores 0.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     order = [F.md5(F.concat(F.lit("fit"), F.col("id").cast("string"))), F.col("id")]
     some = known.filter("y = 1").orderBy(*order).limit(most).unionByName(known.filter("y = 0").orderBy(*order).limit(2 * most))
     some = docs.sparkSession.createDataFrame(some.collect(), some.schema)  # at most 3 * most rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return ToxicityModel.train([r["text"] or "" for r in rows], [r["y"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    sample = save(rows.groupBy("id", "y").agg(F.min("text").alias("text")), "toxicity-sample")
+    model = ToxicityModel.train((r["text"], r["y"]) for r in sample.orderBy("id").toLocalIterator())
+    remove(sample)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a column score in 0..1: every whole text; null and empty texts get the model's bias alone."""
+    """docs with a column score in 0..1, in place of one of that name: every whole text, however long; null and empty texts
+    get the model's bias alone; repeated rows are scored alike."""
     from pyspark.sql import types as T
 
-    arrow_rows(docs.sparkSession)
+    docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
@@ -160,7 +168,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted."""
+    """One row per row of docs, repeated and null ids included: doc_id, held_out, score, predicted. Other columns are ignored,
+    an empty table gives no rows."""
     model = fit_toxicity(docs, labels, id_col, text_col)
     scored = score_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "score")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
