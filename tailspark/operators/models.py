@@ -15,6 +15,7 @@ import numpy as np
 from ..functions.dist import normal_multipliers, t_multipliers
 from .garch import fit_blocks, next_variances
 
+# Decay of the EWMA recursion; resampled paths and the seed of their rows.
 LAMBDA = 0.94
 PATHS, PATH_SEED = 20_000, 1234
 CHUNK = 64

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+from datetime import date
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,14 +87,43 @@ def cube(quantiles: DataFrame) -> DataFrame:
     return days.groupBy("model", "series", "context", "origin").agg(F.array_sort(F.collect_list(F.struct("day", "grid"))).alias("days"))
 
 
-class EwmaQuantiles:
-    """A quantile forecaster without weights: normal quantiles at the EWMA scale of the context, equal for all days.
+class QuantileForecaster(ABC):
+    """What can be materialised: a model without fitting, from contexts of returns to quantiles of each future day.
 
-    Any object with these members can be materialised: name, native_levels (None for all), max_context, data_cutoff and
-    predict(contexts, horizon, levels) -> (contexts, horizon, levels).
+    native_levels None: all levels; max_context None: contexts of any length; data_cutoff: the last day that the model can have
+    seen in its training. A model is shipped to the workers whole, so what is large is loaded at its first use there.
     """
 
-    name, native_levels, max_context, data_cutoff = "ewma-quantiles", None, 1024, None
+    name: str
+    native_levels: tuple[float, ...] | None = None
+    max_context: int | None = None
+    data_cutoff: date | None = None
+
+    @abstractmethod
+    def predict(self, contexts: list[np.ndarray], horizon: int, levels) -> np.ndarray:
+        """(contexts, horizon, levels) quantiles; contexts are whole, trimmed and finite."""
+
+    def __call__(self, contexts, horizon: int, levels) -> np.ndarray:
+        """predict() with its input and output checked: contexts trimmed to max_context, quantiles rising with their levels."""
+        check_levels(levels, self.native_levels)
+        if horizon < 1:
+            raise ValueError("horizon must be 1 or more")
+        made = []
+        for c in contexts:
+            c = np.asarray(c, float)
+            if c.ndim != 1 or not len(c) or not np.isfinite(c).all():
+                raise ValueError("a context must be 1-D and finite")
+            made.append(c[-self.max_context :] if self.max_context else c)
+        q = np.asarray(self.predict(made, horizon, tuple(levels)), float)
+        if q.shape != (len(made), horizon, len(levels)):
+            raise ValueError(f"{self.name} gave quantiles of shape {q.shape}, not {(len(made), horizon, len(levels))}")
+        return np.maximum.accumulate(q, axis=2)
+
+
+class EwmaQuantiles(QuantileForecaster):
+    """A forecaster without weights: normal quantiles at the EWMA scale of the context, equal for all days."""
+
+    name, max_context = "ewma-quantiles", 1024
 
     def __init__(self, lam: float = 0.94):
         self.lam = lam
@@ -99,18 +132,45 @@ class EwmaQuantiles:
         z = np.array([norm_ppf(x) for x in levels])
         out = np.empty((len(contexts), horizon, len(z)))
         for i, c in enumerate(contexts):
-            c = np.asarray(c, float)[-self.max_context :]
-            if c.ndim != 1 or not len(c) or not np.isfinite(c).all():
-                raise ValueError("a context must be 1-D and finite")
             weight = (1 - self.lam) * self.lam ** np.arange(len(c) - 1, -1, -1)
             out[i] = np.sqrt(self.lam ** len(c) * c.var() + (weight * c * c).sum()) * z
-        return np.maximum.accumulate(out, axis=2)
+        return out
+
 
+class Pretrained(QuantileForecaster):
+    """Any local pretrained model: load() gives, once per worker, a function (contexts, horizon, levels) -> quantiles.
+
+    Levels that the model doesn't give itself aren't made up: only native ones can be asked for.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Callable], native_levels: tuple[float, ...] | None = None, max_context: int | None = None, data_cutoff: date | None = None):
+        check_levels(native_levels or (0.5,))
+        self.name, self.load, self.native_levels, self.max_context, self.data_cutoff, self._model = name, load, native_levels, max_context, data_cutoff, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_model": None}
+
+    def predict(self, contexts: list[np.ndarray], horizon: int, levels) -> np.ndarray:
+        if self._model is None:
+            self._model = self.load()
+        return self._model(contexts, horizon, levels)
 
-FORECASTERS = {"ewma-quantiles": EwmaQuantiles}
 
+FORECASTERS: dict[str, Callable[[], QuantileForecaster]] = {"ewma-quantiles": EwmaQuantiles}
 
-def forecaster(name: str):
+
+def register(name: str, make: Callable[[], QuantileForecaster]) -> None:
+    """Make a forecaster known by a name, for forecaster() and the command line."""
+    FORECASTERS[name] = make
+
+
+def forecaster(name: str) -> QuantileForecaster:
     if name not in FORECASTERS:
         raise ValueError(f"unknown forecaster {name!r}: one of {sorted(FORECASTERS)}")
     return FORECASTERS[name]()
+
+
+def clean_of(df: DataFrame, cutoff: date | None, origin: str = "origin") -> DataFrame:
+    """df with after_cutoff: whether the origin lies after what the model can have seen; null where that isn't known."""
+    known = F.lit(None).cast("boolean") if cutoff is None else F.col(origin) > F.lit(cutoff)
+    return df.withColumn("after_cutoff", known)

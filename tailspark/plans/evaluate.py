@@ -9,6 +9,7 @@ from ..functions.risk import breach, close_to, fz0, qlike
 from ..operators.backtests import CELL, dynamic_quantile, hits, independence, kupiec
 from ..operators.comparison import diebold_mariano, model_confidence_sets
 from ..sources.config import Regimes
+from ..sources.work import stored
 
 # Upper 5 % points of the chi-square distribution by degrees of freedom.
 CHI2_95 = {1: 3.841458820694124, 2: 5.991464547107979, 6: 12.591587243743977}
@@ -60,6 +61,7 @@ def aligned_losses(f: DataFrame, horizon: int, alpha: float, loss: str, by: list
 
 def rank_models(losses: DataFrame, horizon: int, draws: int = 1000) -> DataFrame:
     """(cell, model, mean_loss, vs_best_p, mcs_p, in_mcs): Diebold-Mariano against the cell's best model, set at 90 %."""
+    losses = stored(losses, "losses")
     means = losses.groupBy("cell", "model").agg(F.avg("loss").alias("mean_loss"))
     best = means.groupBy("cell").agg(F.min_by("model", F.struct("mean_loss", "model")).alias("best"))
     against = losses.join(best, "cell").filter("model != best").select("cell", "origin", "model", "loss", "best")
@@ -77,19 +79,29 @@ def split(f: DataFrame, column: str, horizon: int = 1, alpha: float = 0.01, loss
     return ranked.groupBy("model").pivot("cell").agg(F.first(shown)).orderBy("model")
 
 
-def markdown(df: DataFrame) -> str:
-    """A small result as a table; for reports only."""
-    rows = df.limit(10_000).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A small result as a table, whole; for reports only: a result of over `most` rows raises and should be written instead."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table has over {most} rows")
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(show, r)) + " |" for r in rows)])
 
 
 def report(forecasts: DataFrame, regimes: Regimes, classes: DataFrame, horizons=(1, 5, 20), alpha: float = 0.01) -> tuple[str, DataFrame]:
     """The evaluation report as text, and its summary table: QLIKE over the FZ0 ranking, columns either lacks null."""
-    f = evaluated(forecasts, regimes, classes).persist()
+    f = stored(evaluated(forecasts, regimes, classes), "evaluated")
     head = f.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("series").alias("series"), F.count_distinct("model").alias("models"), F.min("origin").alias("first"), F.max("origin").alias("last"))
-    ql, fz = rank_models(aligned_losses(f, 1, alpha, "qlike"), 1), rank_models(aligned_losses(f, 1, alpha, "fz0"), 1)
-    parts = [("Forecasts", head), ("QLIKE, pooled", variance_table(f)), ("QLIKE, ranking", ql), *((f"Tails, h={h}", tail_table(f, h, alpha)) for h in horizons), ("FZ0, ranking", fz), ("FZ0 by regime", split(f, "regime")), ("FZ0 by asset class", split(f, "asset_class"))]
+    ql, fz = (stored(rank_models(aligned_losses(f, 1, alpha, loss), 1), f"ranking-{loss}") for loss in ("qlike", "fz0"))
+    variance = stored(variance_table(f), "variance")
+    parts = [("Forecasts", head), ("QLIKE, pooled", variance.orderBy("qlike")), ("QLIKE, ranking", ql.orderBy("mean_loss")), *((f"Tails, h={h}", tail_table(f, h, alpha)) for h in horizons), ("FZ0, ranking", fz.orderBy("mean_loss")), ("FZ0 by regime", split(f, "regime")), ("FZ0 by asset class", split(f, "asset_class"))]
     text = "\n\n".join(f"## {name}\n\n{markdown(df)}" for name, df in parts)
-    summary = variance_table(f).withColumn("table", F.lit("qlike")).unionByName(fz.withColumn("table", F.lit("fz0")), allowMissingColumns=True)
+    summary = variance.withColumn("table", F.lit("qlike")).unionByName(fz.withColumn("table", F.lit("fz0")), allowMissingColumns=True)
     return text, summary
+
+
+def write_report(forecasts: DataFrame, regimes: Regimes, classes: DataFrame, path: str, horizons=(1, 5, 20), alpha: float = 0.01) -> None:
+    """report() as the folders `text` and `summary` under path, which any file system that Spark writes can hold."""
+    text, summary = report(forecasts, regimes, classes, horizons, alpha)
+    forecasts.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/text")
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import returns as ret
-from ..operators.models import EXTRA_MODELS, MODELS, WalkForward
+from ..operators.models import EXTRA_MODELS, MODELS, Forecasts, WalkForward
 
 _OUT = "series string, origin date, model string, horizon int, alpha double, sigma2 double, var double, es double, realized double, error string, refits int"
 
@@ -36,7 +36,11 @@ def _kernel(models: dict[str, Callable], cfg: WalkForward):
         columns = [c.split()[0] for c in _OUT.split(", ")]
         if not len(at):
             return pd.DataFrame(columns=columns)
-        f = models[model](r, at, cfg)
+        # a window with a value that isn't finite fails; the model never sees it, and its schedule counts the other origins
+        spoilt = np.concatenate([[0], np.cumsum(~np.isfinite(r))])
+        whole = spoilt[at + 1] == spoilt[at + 1 - cfg.window]
+        refused, at = at[~whole], at[whole]
+        f = models[model](r, at, cfg) if len(at) else Forecasts.empty(cfg, 0)
         nh, na, n = f.var.shape
         truth = np.stack([_forward(r, h)[at] for h in cfg.horizons])
         good = ~np.isin(np.arange(n), list(f.errors))
@@ -47,8 +51,9 @@ def _kernel(models: dict[str, Callable], cfg: WalkForward):
             "series": series, "origin": flat(dates[at]), "model": model, "horizon": flat(np.array(cfg.horizons)[:, None, None]), "alpha": flat(np.array(cfg.alphas)[None, :, None]),
             "sigma2": flat(f.sigma2[:, None, :]), "var": f.var.ravel()[keep], "es": f.es.ravel()[keep], "realized": flat(truth[:, None, :]), "error": None, "refits": f.refits,
         })
-        if f.errors:
-            bad = pd.DataFrame({"series": series, "origin": [dates[at[k]] for k in f.errors], "model": model, "error": list(f.errors.values()), "refits": f.refits})
+        failed = {**{at[k]: e for k, e in f.errors.items()}, **dict.fromkeys(refused, "the window holds values that aren't finite")}
+        if failed:
+            bad = pd.DataFrame({"series": series, "origin": [dates[i] for i in failed], "model": model, "error": list(failed.values()), "refits": f.refits})
             out = pd.concat([out, bad.reindex(columns=columns)], ignore_index=True) if len(out) else bad.reindex(columns=columns)
         out["realized"] = out["realized"].astype(object).where(out["realized"].notna(), None)
         return out[columns]

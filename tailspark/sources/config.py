@@ -22,8 +22,14 @@ class Universe:
     def __post_init__(self):
         if unknown := set(self.series) - set(ASSET_CLASSES):
             raise ValueError(f"unknown asset classes: {sorted(unknown)}")
+        for day in (self.start, self.end):
+            if not isinstance(day, date):
+                raise ValueError(f"start and end must be dates: {day!r}")
         if self.start >= self.end:
             raise ValueError("start must precede end")
+        names = [_checked(s, ("ticker",), ("name",), "a series")["ticker"] for _, s in self.all_series()]
+        if twice := sorted({n for n in names if names.count(n) > 1}):
+            raise ValueError(f"series named twice: {twice}")
 
     def all_series(self) -> list[tuple[str, dict]]:
         return [(k, s) for k, specs in self.series.items() for s in specs]
@@ -67,13 +73,32 @@ class Regimes:
         return spark.createDataFrame(self.windows, "name string, start date, end date")
 
 
-def load_universe(path: str) -> Universe:
+def _checked(x, must: tuple[str, ...], may: tuple[str, ...], what: str) -> dict:
+    """x, if it is a mapping with the keys that it must and may have."""
+    if not isinstance(x, dict):
+        raise ValueError(f"{what} must be a mapping: {x!r}")
+    if missing := [k for k in must if x.get(k) is None]:
+        raise ValueError(f"{what} lacks {missing}")
+    if unknown := sorted(set(x) - {*must, *may}, key=str):
+        raise ValueError(f"{what} has unknown keys {unknown}")
+    return x
+
+
+def _read(path: str):
     with open(path) as f:
-        x = yaml.safe_load(f)
-    return Universe(x["start"], x["end"], x["series"], x.get("price_field", "adj_close"))
+        return yaml.safe_load(f)
+
+
+def load_universe(path: str) -> Universe:
+    """A YAML file of start, end, price_field (adj_close by default) and series: asset class -> list of ticker and name."""
+    x = _checked(_read(path), ("start", "end", "series"), ("price_field",), "a universe")
+    if not isinstance(x["series"], dict) or not all(isinstance(v, list) for v in x["series"].values()):
+        raise ValueError("series must map asset classes to lists")
+    return Universe(x["start"], x["end"], x["series"], x.get("price_field") or "adj_close")
 
 
 def load_regimes(path: str) -> Regimes:
-    with open(path) as f:
-        x = yaml.safe_load(f)
-    return Regimes([(w["name"], w["start"], w["end"]) for w in x["crisis_windows"]])
+    """A YAML file of crisis_windows: a list of name, start and end."""
+    x = _checked(_read(path), ("crisis_windows",), (), "regimes")
+    rows = [_checked(w, ("name", "start", "end"), (), "a crisis window") for w in x["crisis_windows"]]
+    return Regimes([(w["name"], w["start"], w["end"]) for w in rows])

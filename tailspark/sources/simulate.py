@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+# Days before the first one that is kept; the default parameters below belong to the same process.
 BURN_IN = 1000
 
 
