@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from ..functions.dist import fit_t_nu, implied_nu, norm_ppf, normal_multipliers, t_multipliers
+from ..functions.dist import fit_t_nu, implied_nu, norm_ppf, t_multipliers
 from ..operators import backtests as bt
 from ..operators import comparison as cmp
 from ..operators import quantiles as qt
@@ -21,8 +21,9 @@ from ..operators import returns as ret
 from ..operators import windows as win
 from ..operators.models import WalkForward
 from ..sources.config import Regimes, Universe
-from ..sources.panel import first_writer_wins, prices_from, quantile_file, safe_name
+from ..sources.panel import first_writer_wins, prices_from, quantile_file_column, safe_name_column
 from ..sources.simulate import garch_panel
+from ..sources.work import stored
 from . import evaluate as ev
 from . import quantile_path as qp
 from . import walkforward as wf
@@ -74,7 +75,14 @@ RT = "rt AS (SELECT series, date, r, row_number() OVER (PARTITION BY series ORDE
 BASE = f"WITH {PX}, {LR}, {RT}"
 F250 = f"WINDOW f AS (PARTITION BY series ORDER BY date ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW), o AS (PARTITION BY series ORDER BY date)"
 WN = f"wn AS (SELECT series, date, rn, r, list(r) OVER f AS l, var_pop(r) OVER f AS v0, quantile_cont(r, 0.01) OVER f AS q0, quantile_cont(r, 0.05) OVER f AS q1, lead(r) OVER o AS y FROM rt {F250}), wo AS (SELECT *, list_reduce(l, lambda s, x: 0.94 * s + 0.06 * x * x, v0) AS s2 FROM wn WHERE rn >= {W})"
-_K = [normal_multipliers(a) for a in ALPHAS]
+# Fixed values, from tables: VaR and ES of the standard normal, and quantiles of Student's t with 5 degrees of freedom, at ALPHAS.
+_K = [(2.3263478740408408, 2.665214220345806), (1.6448536269514722, 2.062712807507426)]
+_Q5 = [-3.364929998907206, -2.015048373333022]
+# VaR and ES of that t at variance 1, by its density 8 / (3 pi sqrt 5) * (1 + q*q/5)^-3
+_T5 = [(f"(sqrt(0.6::DOUBLE) * {-q!r}::DOUBLE)", f"(sqrt(0.6::DOUBLE) * 8 / (3 * pi() * sqrt(5)) * pow(1 + {q * q!r}::DOUBLE / 5, -3) / {a} * (5 + {q * q!r}::DOUBLE) / 4)") for q, a in zip(_Q5, ALPHAS)]
+# Normal quantiles of GRID; upper 5 % points of chi-square with 1 and 6 degrees of freedom.
+_NORMAL = (-2.3263478740408408, -1.6448536269514722, -1.2815515655446004, -0.6744897501960817, 0.0, 0.6744897501960817, 1.2815515655446004, 2.3263478740408408)
+_CHI1, _CHI6 = 3.841458820694124, 12.591587243743977
 FC = "fc AS (" + " UNION ALL ".join(
     f"SELECT series, date AS origin, 'ewma-rm' AS model, 1 AS horizon, {a}::DOUBLE AS alpha, s2 AS sigma2, sqrt(s2) * {_K[j][0]!r}::DOUBLE AS var, sqrt(s2) * {_K[j][1]!r}::DOUBLE AS es, y AS realized FROM wo UNION ALL "
     f"SELECT series, date, 'historical', 1, {a}::DOUBLE, v0, -q{j}, -list_avg(list_filter(l, lambda x: x <= q{j})), y FROM wo"
@@ -104,7 +112,8 @@ def closed_forecasts(spark, d):
 
 
 def done(spark, d):
-    return forecasts(spark, d).filter("realized IS NOT NULL")
+    """Written once: evaluations read it several times."""
+    return stored(forecasts(spark, d).filter("realized IS NOT NULL"), "forecasts")
 
 
 FCD = f"{FCS}, fd AS (SELECT * FROM fc WHERE realized IS NOT NULL)"
@@ -125,12 +134,14 @@ def s05_universe(spark, d):
 
 @query("SELECT DISTINCT regexp_replace(p_brand || '=' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS file FROM part")
 def s01_safe_names(spark, d):
-    return table(spark, d, "part").select(F.regexp_replace(F.concat_ws("=", "p_brand", "p_type"), r"[^A-Za-z0-9_-]", "_").alias("file")).distinct()
+    return table(spark, d, "part").select(safe_name_column(F.concat_ws("=", "p_brand", "p_type")).alias("file")).distinct()
 
 
-@query(f"SELECT '{quantile_file('m/1', '^GSPC', 20, 1024)}' AS quantile_file, '{safe_name('BRK.B')}' AS price_name")
+@query("SELECT DISTINCT regexp_replace(p_brand || '.' || p_size, '[^A-Za-z0-9_.-]', '_', 'g') || '/' || regexp_replace('^' || p_type || '/' || p_partkey % 7, '[^A-Za-z0-9_.-]', '_', 'g') || '__h20__c1024.parquet' AS quantile_file FROM part")
 def s06_cache_paths(spark, d):
-    return spark.range(1).select(F.lit("m_1/_GSPC__h20__c1024.parquet").alias("quantile_file"), F.lit("BRK_B").alias("price_name"))
+    p = table(spark, d, "part")
+    model, series = F.concat_ws(".", "p_brand", "p_size"), F.concat(F.lit("^"), "p_type", F.lit("/"), F.col("p_partkey") % 7)
+    return p.select(quantile_file_column(model, series, 20, 1024).alias("quantile_file")).distinct()
 
 
 @query(f"""{FCS} SELECT CASE WHEN origin BETWEEN DATE '1996-03-01' AND DATE '1996-12-31' OR origin BETWEEN DATE '1998-08-01' AND DATE '1999-02-28' OR origin BETWEEN DATE '2000-03-01' AND DATE '2001-01-31' THEN 'crisis' ELSE 'calm' END AS regime,
@@ -270,11 +281,14 @@ def j07_window_members(spark, d):
     return rounded(rows.select("series", F.col("date").alias("origin"), "n", "total"))
 
 
-@query(f"{BASE}, o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS origin FROM orders) SELECT count(*) AS origins, count(r) AS matched, round(sum(r), 6) AS total FROM o LEFT JOIN rt ON rt.date = o.origin AND rt.series = 'A'")
+@query(f"{BASE}, o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS origin FROM orders), n AS (SELECT DISTINCT series FROM rt) SELECT n.series, count(*) AS origins, count(r) AS matched, round(sum(r), 6) AS total FROM n CROSS JOIN o LEFT JOIN rt ON rt.date = o.origin AND rt.series = n.series GROUP BY 1")
 def j04_reindex(spark, d):
+    r = returns(spark, d)
     o = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-    j = o.join(returns(spark, d).filter("series = 'A'"), "date", "left")
-    return rounded(j.agg(F.count(F.lit(1)).alias("origins"), F.count("r").alias("matched"), F.sum("r").alias("total")))
+    # the panel's few series times the dates of a calendar
+    grid = o.withColumn("series", F.explode(F.array(*[F.lit(x[0]) for x in r.select("series").distinct().orderBy("series").collect()])))
+    j = grid.join(r, ["series", "date"], "left")
+    return rounded(j.groupBy("series").agg(F.count(F.lit(1)).alias("origins"), F.count("r").alias("matched"), F.sum("r").alias("total")))
 
 
 _NEW = f"{BASE}, a AS (SELECT series, date AS origin, round(r, 6) AS r FROM rt WHERE rn <= 900), b AS (SELECT series, date AS origin, round(-r, 6) AS r FROM rt WHERE rn > 600)"
@@ -313,10 +327,7 @@ def j11_a04_aligned_losses(spark, d):
 # ------------------------------------------------------------------ measures and losses
 
 
-_T5 = {a: t_multipliers(5.0, a) for a in ALPHAS}
-
-
-@query(f"{BASE}, {WN} " + " UNION ALL ".join(f"SELECT series, CAST(date AS VARCHAR) AS origin, {a}::DOUBLE AS alpha, round(sqrt(s2) * {_K[j][0]!r}::DOUBLE, 6) AS nv, round(sqrt(s2) * {_K[j][1]!r}::DOUBLE, 6) AS ne, round(sqrt(s2) * {_T5[a][0]!r}::DOUBLE, 6) AS tv, round(sqrt(s2) * {_T5[a][1]!r}::DOUBLE, 6) AS te FROM wo" for j, a in enumerate(ALPHAS)))
+@query(f"{BASE}, {WN} " + " UNION ALL ".join(f"SELECT series, CAST(date AS VARCHAR) AS origin, {a}::DOUBLE AS alpha, round(sqrt(s2) * {_K[j][0]!r}::DOUBLE, 6) AS nv, round(sqrt(s2) * {_K[j][1]!r}::DOUBLE, 6) AS ne, round(sqrt(s2) * {_T5[j][0]}, 6) AS tv, round(sqrt(s2) * {_T5[j][1]}, 6) AS te FROM wo" for j, a in enumerate(ALPHAS)))
 def f01_f02_parametric(spark, d):
     f = closed_forecasts(spark, d).filter("model = 'ewma-rm'")
     out = None
@@ -348,6 +359,40 @@ def m03_e01_ewma_walk_forward(spark, d):
     return rounded(f.select("series", "origin", "alpha", "sigma2", "var", "es", "realized"))
 
 
+def _cholesky(k: int, a: str, b: str) -> str:
+    """Select items that factor a symmetric matrix of columns {a}{i}_{j} (i <= j) and solve for {b}{i} half-way: z0, z1, ..."""
+    out = []
+    for i in range(k):
+        for j in range(i):
+            out.append(f"({a}{j}_{i} - (0{''.join(f' + l{i}_{m} * l{j}_{m}' for m in range(j))})) / l{j}_{j} AS l{i}_{j}")
+        out.append(f"sqrt({a}{i}_{i} - (0{''.join(f' + l{i}_{m} * l{i}_{m}' for m in range(i))})) AS l{i}_{i}")
+        out.append(f"({b}{i} - (0{''.join(f' + l{i}_{m} * z{m}' for m in range(i))})) / l{i}_{i} AS z{i}")
+    return ", ".join(out)
+
+
+def _har(h: int) -> str:
+    """HAR by normal equations over 1e4 times the squared returns, at each 21st origin and carried to the next."""
+    p, over = f"q{h}", f"OVER (PARTITION BY series ORDER BY date ROWS BETWEEN {W - 22} PRECEDING AND {h} PRECEDING)"
+    y = f"sum(v) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    return f"""{p}0 AS (SELECT series, date, rn, 1.0::DOUBLE AS x0, x1, x5 AS x2, x22 AS x3, {y} AS y, avg(v) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW) AS mean FROM hv),
+{p}1 AS (SELECT *, {", ".join(f"sum(x{i} * x{j}) {over} AS a{i}_{j}" for i in range(4) for j in range(i, 4))}, {", ".join(f"sum(x{i} * y) {over} AS b{i}" for i in range(4))} FROM {p}0),
+{p}2 AS (SELECT *, {_cholesky(4, "a", "b")} FROM {p}1 WHERE rn >= {W} AND (rn - {W}) % 21 = 0),
+{p}3 AS (SELECT series, (rn - {W}) // 21 AS block, z3 / l3_3 AS c3, (z2 - l3_2 * c3) / l2_2 AS c2, (z1 - l2_1 * c2 - l3_1 * c3) / l1_1 AS c1, (z0 - l1_0 * c1 - l2_0 * c2 - l3_0 * c3) / l0_0 AS c0 FROM {p}2),
+{p} AS (SELECT series, date, {h} AS horizon, greatest(c0 + c1 * x1 + c2 * x2 + c3 * x3, 0.05 * mean * {h}) / 1e4 AS s2 FROM {p}0 JOIN {p}3 USING (series) WHERE rn >= {W} AND block = (rn - {W}) // 21)"""
+
+
+_HAR = f"""{BASE}, hv AS (SELECT series, date, rn, r * r * 1e4 AS v, r * r * 1e4 AS x1, avg(r * r * 1e4) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS x5,
+avg(r * r * 1e4) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS x22 FROM rt), {_har(1)}, {_har(5)}, ha AS (SELECT * FROM q1 UNION ALL SELECT * FROM q5)
+SELECT series, CAST(date AS VARCHAR) AS origin, horizon, round(s2, 6) AS sigma2, round(sqrt(s2) * {_K[1][0]!r}::DOUBLE, 6) AS var, round(sqrt(s2) * {_K[1][1]!r}::DOUBLE, 6) AS es FROM ha"""
+
+
+@query(_HAR)
+def m07_har_proxy(spark, d):
+    cfg = WalkForward(window=W, horizons=(1, 5), alphas=(0.05,))
+    f = wf.forecasts(wf.walk_forward(returns(spark, d), ["har-proxy"], cfg))
+    return rounded(f.select("series", "origin", "horizon", "sigma2", "var", "es"))
+
+
 @query(f"""{FCD} SELECT model, alpha, count(*) AS n, round(avg(ln(sigma2) + realized * realized / sigma2), 6) AS qlike,
 round(avg(pow(sigma2 - realized * realized, 2)), 6) AS mse, round(avg({FZ}), 6) + 0.0 AS fz0 FROM fd GROUP BY 1, 2""")
 def f05_f06_f07_losses(spark, d):
@@ -355,10 +400,15 @@ def f05_f06_f07_losses(spark, d):
     return rounded(f.groupBy("model", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(risk.qlike(F.col("sigma2"), y2)).alias("qlike"), F.avg(risk.mse(F.col("sigma2"), y2)).alias("mse"), F.avg(risk.fz0(F.col("var"), F.col("es"), F.col("realized"), F.col("alpha"))).alias("fz0")))
 
 
-@query()
+# VaR and ES of a t law imply its own degrees of freedom
+@query("SELECT DISTINCT l_linenumber + 2.5::DOUBLE AS nu, l_linenumber + 2.5::DOUBLE AS implied FROM lineitem")
 def f10_implied_nu(spark, d):
-    rows = [(n, implied_nu(*t_multipliers(n, 0.025), 0.025)) for n in (3.0, 5.0, 8.0, 30.0)]
-    return spark.createDataFrame(rows, "nu double, implied double")
+    @F.pandas_udf("double")
+    def back(nu: pd.Series) -> pd.Series:
+        return nu.map(lambda n: implied_nu(*t_multipliers(n, 0.025), 0.025)).astype(float)
+
+    nus = table(spark, d, "lineitem").select((F.col("l_linenumber") + 2.5).cast("double").alias("nu")).distinct()
+    return rounded(nus.select("nu", back("nu").alias("implied")), 5)
 
 
 @query()
@@ -371,21 +421,22 @@ def f11_fitted_nu(spark, d):
     return r.groupBy("series").agg(nu("r").alias("nu"))
 
 
-@query("SELECT * FROM (VALUES ('a', 0.98::DOUBLE), ('b', 0.995::DOUBLE)) t(model, persistence)")
+@query("SELECT p_partkey, round(p_size / 500.0::DOUBLE + 0.85 + (p_partkey % 7) / 100.0::DOUBLE / 2, 9) AS persistence FROM part")
 def f14_persistence(spark, d):
-    p = spark.createDataFrame([("a", 0.08, 0.90, 0.0), ("b", 0.03, 0.915, 0.10)], "model string, alpha double, beta double, gamma double")
-    return p.select("model", F.round(risk.persistence(F.col("alpha"), F.col("beta"), F.col("gamma")), 9).alias("persistence"))
+    p = table(spark, d, "part")
+    a, gamma = F.col("p_size") / 500.0, (F.col("p_partkey") % 7) / 100.0
+    return p.select("p_partkey", F.round(risk.persistence(a, F.lit(0.85), gamma), 9).alias("persistence"))
 
 
 # ------------------------------------------------------------------ quantiles
 
-_Z = ", ".join(f"({x}::DOUBLE, {norm_ppf(x)!r}::DOUBLE)" for x in GRID)
-QN = f"qn AS (SELECT 'm' AS model, series, 512 AS context, date AS origin, day, level, sqrt(v0) * (1 + 0.01 * day) * z + 0.0001 * day AS quantile FROM wn, (VALUES (1), (2), (3)) g(day), (VALUES {_Z}) t(level, z) WHERE rn >= {W} AND rn % 5 = 0)"
+_Z = ", ".join(f"({x}::DOUBLE, {z!r}::DOUBLE)" for x, z in zip(GRID, _NORMAL))
+QN = f"qn AS (SELECT 'm' AS model, series, 512 AS context, date AS origin, day, level, sqrt(v0) * (1 + 0.01 * day) * z + 0.0001 * day AS quantile FROM wn, (VALUES (1), (2), (3)) g(day), (VALUES {_Z}) t(level, z) WHERE rn >= {W})"
 QNS = f"{BASE}, {WN}, {QN}"
 
 
 def quantiles(spark, d):
-    """Every origin from the W-th return on. QN above still takes each fifth one only, so its queries list fewer rows."""
+    """Every origin from the W-th return on."""
     full = returns(spark, d).withColumns({"rn": F.row_number().over(ret.by_date()), "s": F.sqrt(F.var_pop("r").over(win.trailing(W)))}).filter(F.col("rn") >= W)
     days = full.withColumn("day", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     grid = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.lit(norm_ppf(x)).alias("z")) for x in GRID]))
@@ -394,7 +445,7 @@ def quantiles(spark, d):
     return rows.select(F.lit("m").alias("model"), "series", F.lit(512).alias("context"), F.col("date").alias("origin"), "day", F.col("g.level").alias("level"), q.alias("quantile"))
 
 
-_SC = "sc AS (SELECT model, series, context, origin, day, regr_slope(quantile, z) AS scale FROM (SELECT qn.*, z FROM qn JOIN (VALUES " + ", ".join(f"({x}::DOUBLE, {norm_ppf(x)!r}::DOUBLE)" for x in GRID if 0.1 <= x <= 0.9) + ") t(lv, z) ON level = lv) GROUP BY 1, 2, 3, 4, 5)"
+_SC = "sc AS (SELECT model, series, context, origin, day, regr_slope(quantile, z) AS scale FROM (SELECT qn.*, z FROM qn JOIN (VALUES " + ", ".join(f"({x}::DOUBLE, {z!r}::DOUBLE)" for x, z in zip(GRID, _NORMAL) if 0.1 <= x <= 0.9) + ") t(lv, z) ON level = lv) GROUP BY 1, 2, 3, 4, 5)"
 
 
 @query(f"{QNS}, {_SC} SELECT series, CAST(origin AS VARCHAR) AS origin, day, round(scale, 6) AS scale FROM sc")
@@ -452,12 +503,18 @@ def m08_w17_vol_path_student(spark, d):
     return qp.quantile_forecasts(quantiles(spark, d), returns(spark, d), "vol", (1, 3), (0.05,), GRID, nu_window=200, least=100)
 
 
-@query()
+_M10 = f"""{BASE}, cx AS (SELECT series, date AS origin, rn, lead(r) OVER (PARTITION BY series ORDER BY date) AS realized, list(r) OVER c AS l, var_pop(r) OVER c AS v FROM rt WINDOW c AS (PARTITION BY series ORDER BY date ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)),
+sd AS (SELECT *, list_reduce(l, lambda s, x: 0.94 * s + 0.06 * x * x, v) AS s2 FROM cx WHERE rn > {W})
+SELECT series, CAST(origin AS VARCHAR) AS origin, 'ewma-quantiles-direct' AS model, 1 AS horizon, 0.05::DOUBLE AS alpha, round(s2, 6) AS sigma2, round(sqrt(s2) * {_K[1][0]!r}::DOUBLE, 6) AS var,
+round(sqrt(s2) * (({_K[0][0]!r}::DOUBLE + {_K[1][0]!r}::DOUBLE) / 2 * 0.04 + 0.01 * {_K[0][0]!r}::DOUBLE) / 0.05, 6) AS es, round(realized, 6) + 0.0 AS realized FROM sd"""
+
+
+@query(_M10)
 def m10_e05_materialized(spark, d):
     r = returns(spark, d)
     todo = qp.contexts(r, 1 + W, 512)
     q = qp.predict(todo, qt.forecaster("ewma-quantiles"), 5, 512, GRID)
-    return qp.quantile_forecasts(q, r, "direct", alphas=(0.05,), levels=GRID)
+    return rounded(qp.quantile_forecasts(q, r, "direct", alphas=(0.05,), levels=GRID))
 
 
 # ------------------------------------------------------------------ backtests
@@ -496,9 +553,17 @@ def b05_w13_dq_moments(spark, d):
     return rounded(m.groupBy("series", "model", "horizon", "alpha").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x1") * F.col("y")).alias("m1"), F.sum(F.col("x4") * F.col("var")).alias("m2")))
 
 
-@query()
+# b' (X'X)^-1 b is the squared length of the half-way solution
+_DQ = f"""dy AS (SELECT {_CELL}, origin, hit, var AS x5, 1.0::DOUBLE AS x0, hit - alpha AS y FROM hh),
+dl AS (SELECT *, {", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in range(1, 5))} FROM dy WINDOW w AS (PARTITION BY {_CELL} ORDER BY origin)),
+ds AS (SELECT {_CELL}, count(*) + 4 AS n_obs, {", ".join(f"sum(x{i} * x{j}) AS m{i}_{j}" for i in range(6) for j in range(i, 6))}, {", ".join(f"sum(x{i} * y) AS b{i}" for i in range(6))} FROM dl WHERE x4 IS NOT NULL GROUP BY ALL),
+dc AS (SELECT *, {_cholesky(6, "m", "b")} FROM ds WHERE n_obs >= 100),
+dq AS (SELECT {_CELL}, n_obs, ({" + ".join(f"z{i} * z{i}" for i in range(6))}) / (alpha * (1 - alpha)) AS statistic FROM dc)"""
+
+
+@query(f"{_H}, {_DQ}, nb AS (SELECT {_CELL}, CAST(sum(hit) AS BIGINT) AS n_breaches FROM hh GROUP BY ALL) SELECT {_CELL}, n_obs, n_breaches, round(statistic, 4) + 0.0 AS statistic FROM dq JOIN nb USING ({_CELL})")
 def b05_dynamic_quantile(spark, d):
-    return bt.dynamic_quantile(bt.hits(done(spark, d)))
+    return rounded(bt.dynamic_quantile(bt.hits(done(spark, d))), 4)
 
 
 @query(f"{_H} SELECT {_CELL}, count(*) AS n_obs, CAST(sum(hit) AS BIGINT) AS n_breaches, round(sum(realized * hit / es) / (count(*) * alpha) + 1, 6) + 0.0 AS statistic FROM hh GROUP BY series, model, horizon, alpha")
@@ -520,9 +585,17 @@ nw AS (SELECT count(*) AS n, avg(d) AS m, greatest(avg(e * e) + 2 * (1 - 1 / 3.0
 
 
 def _diff(spark, d):
+    """Both models' losses of a date in one row: one aggregate, no join."""
     a = ev.aligned_losses(done(spark, d), 1, 0.05, "fz0")
-    x, y = (a.filter(F.col("model") == m).select("cell", "origin", F.col("loss").alias(n)) for m, n in (("ewma-rm", "a"), ("historical", "b")))
-    return x.join(y, ["cell", "origin"])
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("loss")))
+    return a.groupBy("cell", "origin").agg(of("ewma-rm").alias("a"), of("historical").alias("b")).dropna()
+
+
+def _two_sided(t: str, nu: str) -> str:
+    """The two-sided tail of Student's t: with x = sqrt(nu) tan(u) its density is cos(u)**(nu-1), summed by Simpson's rule."""
+    weight = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    part = lambda a: f"((pi() / 2 - {a}) * list_sum(list_transform(range(20001), lambda i: ({weight}) * pow(greatest(cos({a} + i * (pi() / 2 - {a}) / 20000), 0), {nu} - 1))))"
+    return f"({part(f'atan(abs({t}) / sqrt({nu}))')} / {part('0.0::DOUBLE')})"
 
 
 @query(f"{_NW} SELECT n, round(m, 5) + 0.0 AS mean_value, round(lrv, 5) + 0.0 AS lrv FROM nw")
@@ -531,9 +604,9 @@ def c01_w14_long_run_variance(spark, d):
     return rounded(v.drop("cell"), 5)
 
 
-@query(f"{_NW} SELECT n, round(m, 5) + 0.0 AS mean_diff, round(m / sqrt(lrv / n) * sqrt((n + 1 - 2 * 3 + 3 * 2 / n) / n), 5) + 0.0 AS statistic FROM nw")
+@query(f"{_NW}, st AS (SELECT n, m, m / sqrt(lrv / n) * sqrt((n + 1 - 2 * 3 + 3 * 2 / n) / n) AS t FROM nw) SELECT n, round(m, 5) + 0.0 AS mean_diff, round(t, 5) + 0.0 AS statistic, round({_two_sided('t', '(n - 1)')}, 5) AS p_value FROM st")
 def c02_diebold_mariano(spark, d):
-    return rounded(cmp.diebold_mariano(_diff(spark, d), ["cell"], "a", "b", "origin", 3).drop("cell", "p_value"), 5)
+    return rounded(cmp.diebold_mariano(_diff(spark, d), ["cell"], "a", "b", "origin", 3).drop("cell"), 5)
 
 
 @query(f"{FCD} SELECT model, round(avg(CASE WHEN realized < -var THEN 1 ELSE 0 END), 6) AS breach_rate, count(*) AS n FROM fd WHERE horizon = 1 AND alpha = 0.05 GROUP BY 1")
@@ -547,11 +620,12 @@ def a02_t01_variance_table(spark, d):
 
 
 @query(f"""{_IND}, po AS (SELECT *, -2 * ((n_obs - n_breaches) * ln(1 - alpha) + n_breaches * ln(alpha) - CASE WHEN n_breaches IN (0, n_obs) THEN 0 ELSE (n_obs - n_breaches) * ln(1 - n_breaches / n_obs) + n_breaches * ln(n_breaches / n_obs) END) AS pof FROM st WHERE n_obs >= 200 AND alpha = 0.05),
-sh AS (SELECT model, avg(CASE WHEN pof < {ev.CHI2_95[1]} THEN 1 ELSE 0 END) AS pass_kupiec, avg(CASE WHEN statistic < {ev.CHI2_95[1]} THEN 1 ELSE 0 END) AS pass_christoffersen FROM po GROUP BY 1),
-tt AS (SELECT model, avg({FZ}) AS fz0, avg(hit) AS breach_rate FROM hh WHERE alpha = 0.05 GROUP BY 1)
-SELECT model, round(fz0, 6) + 0.0 AS fz0, round(breach_rate, 6) AS breach_rate, round(pass_kupiec, 6) AS pass_kupiec, round(pass_christoffersen, 6) AS pass_christoffersen FROM tt LEFT JOIN sh USING (model)""")
+sh AS (SELECT model, avg(CASE WHEN pof < {_CHI1} THEN 1 ELSE 0 END) AS pass_kupiec, avg(CASE WHEN statistic < {_CHI1} THEN 1 ELSE 0 END) AS pass_christoffersen FROM po GROUP BY 1),
+tt AS (SELECT model, avg({FZ}) AS fz0, avg(hit) AS breach_rate FROM hh WHERE alpha = 0.05 GROUP BY 1), {_DQ},
+sq AS (SELECT model, avg(CASE WHEN statistic < {_CHI6} THEN 1 ELSE 0 END) AS pass_dq FROM dq WHERE n_obs >= 200 AND alpha = 0.05 GROUP BY 1)
+SELECT model, round(fz0, 6) + 0.0 AS fz0, round(breach_rate, 6) AS breach_rate, round(pass_kupiec, 6) AS pass_kupiec, round(pass_christoffersen, 6) AS pass_christoffersen, round(pass_dq, 6) AS pass_dq FROM tt LEFT JOIN sh USING (model) LEFT JOIN sq USING (model)""")
 def a03_tail_table(spark, d):
-    return rounded(ev.tail_table(done(spark, d), 1, 0.05).drop("pass_dq"))
+    return rounded(ev.tail_table(done(spark, d), 1, 0.05))
 
 
 @query(f"{FCD} SELECT count(*) AS n, count(DISTINCT series) AS series, count(DISTINCT model) AS models, CAST(min(origin) AS VARCHAR) AS first, CAST(max(origin) AS VARCHAR) AS last FROM fd")
@@ -585,6 +659,39 @@ def a05_c04_ranking(spark, d):
     return ev.rank_models(ev.aligned_losses(done(spark, d), 1, 0.05, "fz0"), 1)
 
 
+# two models: the better one has no test, the other is tested against it with no lag
+_BEST = f"""{_AL}, mm AS (SELECT model, avg(loss) AS mean_loss FROM al GROUP BY 1), bb AS (SELECT arg_min(model, mean_loss) AS best FROM mm),
+dd AS (SELECT a.model, a.loss - b.loss AS d FROM al a JOIN al b ON a.origin = b.origin JOIN bb ON b.model = bb.best AND a.model <> bb.best),
+tv AS (SELECT model, count(*) AS n, avg(d) / sqrt(greatest(var_pop(d), 1e-16) / count(*)) * sqrt((count(*) - 1) / count(*)) AS t FROM dd GROUP BY 1),
+vb AS (SELECT model, {_two_sided('t', '(n - 1)')} AS p FROM tv)"""
+
+
+@query(f"{_BEST} SELECT 'all' AS cell, model, round(mean_loss, 5) + 0.0 AS mean_loss, round(p, 5) AS vs_best_p FROM mm LEFT JOIN vb USING (model)")
+def a05_j10_against_best(spark, d):
+    """The ranking without its resampled columns."""
+    ranked = ev.rank_models(ev.aligned_losses(done(spark, d), 1, 0.05, "fz0"), 1)
+    return rounded(ranked.select("cell", "model", "mean_loss", "vs_best_p"), 5)
+
+
+_RG = "CASE WHEN origin BETWEEN DATE '1996-03-01' AND DATE '1996-12-31' OR origin BETWEEN DATE '1998-08-01' AND DATE '1999-02-28' OR origin BETWEEN DATE '2000-03-01' AND DATE '2001-01-31' THEN 'crisis' ELSE 'calm' END"
+_SPLIT = "{0}, ev AS (SELECT fd.*, {1} AS cell FROM fd{2}), al AS (SELECT cell, origin, model, avg({3}) AS loss FROM ev WHERE cell IS NOT NULL AND alpha = 0.05 AND var > 0 AND es >= var GROUP BY 1, 2, 3) SELECT cell, model, round(avg(loss), 6) + 0.0 AS mean_loss, count(*) AS dates FROM al GROUP BY 1, 2"
+
+
+def _split_means(f, column):
+    losses = ev.aligned_losses(f.filter(F.col(column).isNotNull()), 1, 0.05, "fz0", [F.col(column)])
+    return rounded(losses.groupBy("cell", "model").agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("dates")))
+
+
+@query(_SPLIT.format(FCD, _RG, "", FZ))
+def a06_regime_means(spark, d):
+    return _split_means(ev.evaluated(forecasts(spark, d), REGIMES), "regime")
+
+
+@query(_SPLIT.format(FCD, "asset_class", " LEFT JOIN (VALUES ('A', 'equity_index'), ('N', 'fx')) c(series, asset_class) ON fd.series = c.series", FZ))
+def a07_class_means(spark, d):
+    return _split_means(ev.evaluated(forecasts(spark, d), None, spark.createDataFrame(CLASSES, "series string, asset_class string")), "asset_class")
+
+
 @query()
 def a06_regime_split(spark, d):
     f = ev.evaluated(forecasts(spark, d), REGIMES)
@@ -610,6 +717,34 @@ def e03_baseline_breaches(spark, d):
     return wf.run_baselines(prices(spark, d), cfg, ("historical", "ewma-rm", "har-proxy", "garch11-n"))[1]
 
 
+# the run's own returns: spikes of 12 scales out, series of W + 250 returns or more
+_PREP = f"""WITH {PX}, {LR}, c0 AS (SELECT * FROM lr WHERE abs(r) <= 1), sc AS (SELECT *, CASE WHEN count(r) OVER a >= 20 THEN median(abs(r)) OVER a END AS scale, lead(r) OVER o AS nxt, count(*) OVER (PARTITION BY series) AS n FROM c0
+WINDOW a AS (PARTITION BY series ORDER BY date ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING), o AS (PARTITION BY series ORDER BY date)),
+fl AS (SELECT series, date, r, coalesce(abs(r) > 12 * scale AND abs(r + nxt) <= (1 - 0.8) * abs(r), false) AND n >= 10 AS spike FROM sc),
+ks AS (SELECT series, date, r FROM (SELECT *, lag(spike) OVER (PARTITION BY series ORDER BY date) AS after FROM fl) WHERE NOT spike AND NOT coalesce(after, false)),
+rt AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS rn FROM ks WHERE series IN (SELECT series FROM ks GROUP BY 1 HAVING count(*) >= {W + 250}))"""
+_E2 = ", ".join(f"h{h} AS (SELECT series, date, rn, {h} AS horizon, s, list(s) OVER f AS l, quantile_cont(s, 0.01) OVER f AS q0, quantile_cont(s, 0.05) OVER f AS q1, var_pop(s) OVER f AS v FROM (SELECT series, date, rn, CASE WHEN rn >= {h} THEN sum(r) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW) END AS s FROM rt) WINDOW f AS (PARTITION BY series ORDER BY date ROWS BETWEEN {W - h} PRECEDING AND CURRENT ROW))" for h in (1, 5, 20))
+_E2F = " UNION ALL ".join(
+    f"SELECT series, 'historical' AS model, {h} AS horizon, {a}::DOUBLE AS alpha, v AS sigma2, -q{j} AS var, -list_avg(list_filter(l, lambda x: x <= q{j})) AS es FROM h{h} WHERE rn >= {W} UNION ALL "
+    f"SELECT series, 'ewma-rm', {h}, {a}::DOUBLE, {h} * s2, sqrt({h} * s2) * {_K[j][0]!r}::DOUBLE, sqrt({h} * s2) * {_K[j][1]!r}::DOUBLE FROM wo"
+    for h in (1, 5, 20) for j, a in enumerate(ALPHAS)
+)
+
+
+@query(f"{_PREP}, {WN}, {_E2}, al AS ({_E2F}) SELECT series, model, horizon, alpha, count(*) AS n, round(avg(sigma2), 6) AS sigma2, round(avg(var), 6) AS var, round(avg(es), 6) AS es FROM al GROUP BY 1, 2, 3, 4")
+def e02_closed_models(spark, d):
+    """The whole run's two closed-form models over all series and horizons, averaged by cell."""
+    cfg = WalkForward(window=W, alphas=ALPHAS)
+    f = wf.forecasts(wf.walk_forward(wf.prepare(prices(spark, d), cfg), ["historical", "ewma-rm"], cfg))
+    return rounded(f.groupBy("series", "model", "horizon", "alpha").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("sigma2", "var", "es")]))
+
+
+@query(f"{_PREP}, {WN}, {FC} SELECT model, round(avg(CASE WHEN realized < -var THEN 1 ELSE 0 END), 6) AS breach_rate, count(*) AS n FROM fc WHERE alpha = 0.05 AND realized IS NOT NULL GROUP BY 1")
+def e03_closed_breaches(spark, d):
+    cfg = WalkForward(window=W, alphas=(0.05,))
+    return rounded(wf.run_baselines(prices(spark, d), cfg, ("historical", "ewma-rm"))[1])
+
+
 @query()
 def e07_report_summary(spark, d):
     _, summary = ev.report(forecasts(spark, d), REGIMES, spark.createDataFrame(CLASSES, "series string, asset_class string"), horizons=(1,), alpha=0.05)
