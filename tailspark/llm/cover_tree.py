@@ -126,6 +126,8 @@ def dual(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray,
         p, q = stack.pop()
         own = same and p == q
         up, uq = a.under[p], b.under[q]
+        if own and len(up) == 1:
+            continue
         if not own:
             d = float(distance(a.x[a.point[p]], b.x[b.point[q]]))
             if d - a.reach[p] - b.reach[q] > radius + SLACK:

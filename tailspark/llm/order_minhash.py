@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import TwoGenerations, Work, connected_components, few, join_hot, with_row_key
+from .common import Work, connected_components, few, join_hot, with_row_key
 
 #: Words per shingle, least similarity, sketches per text, and minimum shingles per sketch.
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 32, 2
@@ -29,7 +29,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def _word(w: str) -> int:
-    return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
 
 
 def occurrences(h: np.ndarray) -> np.ndarray:
@@ -59,8 +59,11 @@ def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
 def sketch(h: np.ndarray) -> np.ndarray:
     """For each of SKETCHES orders, a hash of the order's number and the PICKED least shingles, read in text order."""
     picked = min(PICKED, len(h))
-    r = _scramble(h[None, :] * _MIX[:, None])
-    at = np.sort(np.argpartition(r, picked - 1, axis=1)[:, :picked], axis=1) if picked < len(h) else np.tile(np.arange(picked), (SKETCHES, 1))
+    r, every, at = _scramble(h[None, :] * _MIX[:, None]), np.arange(SKETCHES), np.empty((SKETCHES, picked), np.int64)
+    for i in range(picked):  # least by least: there are few
+        at[:, i] = r.argmin(axis=1)
+        r[every, at[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    at.sort(axis=1)
     out = _MIX + np.uint64(picked)
     for i in range(picked):
         out = _scramble(out * _P + h[at[:, i]])
@@ -132,17 +135,16 @@ def alike(a: list[int], b: list[int], least: float = SIMILARITY) -> bool:
 
 
 def _sketches(batches):
-    memo = TwoGenerations(_word)
     for b in batches:
         for first in range(0, len(b), 512):
-            yield _sketched(memo, b.slice(first, 512))
+            yield _sketched(b.slice(first, 512))
 
 
-def _sketched(memo: dict, b: pa.RecordBatch) -> pa.RecordBatch:
+def _sketched(b: pa.RecordBatch) -> pa.RecordBatch:
     n, size, keys, out = [], [], [], []
     for t in b.column("text"):
         words = (t.as_py() or "").split()
-        w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) if words else np.zeros(0, np.uint64)
+        w = np.fromiter(map(_word, words), np.uint64, len(words))
         h = shingles(w)
         n.append(len(h))
         size.append(len(w))
