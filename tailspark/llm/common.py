@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """While inside, whole texts go to Python in Arrow batches of at most `rows` rows, which bounds what workers and executors
+    hold of them; afterwards the session's setting is as before. What is computed inside must be saved inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Folders that save() has written and nothing has deleted yet.
 _written: dict[str, None] = {}
 
@@ -191,7 +205,8 @@ def connected_components(edges: DataFrame, work: Work | None = None) -> DataFram
         if now[0] == 0 or tuple(now) == seen:
             break
         seen = tuple(now)
-        after = work.save(star(star(e, True, now[0]), False, now[0]).filter("src > dst"), "cc")
-        work.remove(e)
-        e = after
+        for large in (True, False):  # each is written, so that plans stay small
+            after = work.save(star(e, large, now[0]).filter("src > dst"), "cc")
+            work.remove(e)
+            e = after
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

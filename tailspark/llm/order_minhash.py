@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Work, connected_components, few, join_hot, with_row_key
+from .common import Work, connected_components, few, join_hot, small_batches, with_row_key
 
 #: Words per shingle, least similarity, sketches per text, and minimum shingles per sketch.
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 32, 2
@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     work = Work()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = work.save(texts.mapInArrow(_sketches, "id long, n int, words int, key string, sk array<long>"), "omh-sketch")
+    with small_batches(docs.sparkSession):
+        sk = work.save(texts.mapInArrow(_sketches, "id long, n int, words int, key string, sk array<long>"), "omh-sketch")
     copies = sk.filter("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min(F.struct("id", "n", "words", "sk")).alias("r"), F.count(F.lit(1)).alias("rows"))
     rep = work.save(copies.select("key", "rows", "r.*"), "omh-reps")
     bands = rep.select("id", "words", F.explode("sk").alias("value"))
@@ -252,7 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = pairs.join(sizes, "center").select("id", "center", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
     roots = sizes.select(F.col("center").alias("id"), "center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
     sent = leaves.unionByName(roots).join(held, "id")
-    links = work.save(sent.groupBy("center", "salt").applyInArrow(_star, "src long, dst long"), "omh-links")
+    with small_batches(docs.sparkSession):
+        links = work.save(sent.groupBy("center", "salt").applyInArrow(_star, "src long, dst long"), "omh-links")
     label = work.save(connected_components(links, work), "omh-labels").withColumnRenamed("node", "id")
 
     labelled = work.save(member.join(label, "id", "left").select("value", "id", "words", F.coalesce("component", "id").alias("label")), "omh-labelled")
@@ -265,7 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     dealt = inside.select("value", "id", "label", pair.alias("p")).select("value", "id", "label", "p.*").join(held, "id")
-    joined = work.save(dealt.groupBy("value", "a", "b").applyInArrow(_bucket, "src long, dst long"), "omh-joined")
+    with small_batches(docs.sparkSession):
+        joined = work.save(dealt.groupBy("value", "a", "b").applyInArrow(_bucket, "src long, dst long"), "omh-joined")
     upper = work.save(connected_components(joined, work), "omh-upper").select(F.col("node").alias("component"), F.col("component").alias("class"))
 
     to = rep.select("key", "rows", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))

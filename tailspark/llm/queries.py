@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from . import cover_tree, exact_dedup, mixing, order_minhash, pieces, secrets, sharding, toxicity, warc
-from .common import table
+from .common import save, small_batches, table
 
 
 def op1_mixing(spark, sf_dir):
@@ -29,7 +29,8 @@ def op5_sharding(spark, sf_dir):
 
 
 def op6_nbest_pieces(spark, sf_dir):
-    return pieces.digest_columns(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    with small_batches(spark):
+        return save(pieces.digest_columns(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")), "pieces")
 
 
 def op7_secrets(spark, sf_dir):
@@ -41,7 +42,8 @@ def op8_cover_tree(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
-    return pieces.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_pretokens")
+    with small_batches(spark):
+        return save(pieces.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_pretokens"), "tokens")
 
 
 def op10_toxicity(spark, sf_dir):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, remove, save
+from .common import TwoGenerations, remove, save, small_batches
 
 #: Character n-grams of a word between marks, hashed into so many vectors.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
@@ -176,5 +176,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs, repeated and null ids included: doc_id, held_out, score, predicted. Other columns are ignored,
     an empty table gives no rows."""
     model = fit_toxicity(docs, labels, id_col, text_col)
-    scored = score_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "score")
+    with small_batches(docs.sparkSession):
+        scored = save(score_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "score"), "toxicity")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work, delete_path, hot_values, work_path
+from .common import Work, delete_path, hot_values, small_batches, work_path
 
 DATE = "2020-01-01T00:00:00Z"
 CHUNK = 1 << 16
@@ -247,7 +247,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     def _listed(name, n, size):
         return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["archive", "records", "bytes"])
 
-    out = work.done(rows.mapInArrow(write, "archive string, records long, bytes long"), "warc-list")
+    with small_batches(spark):
+        out = work.done(rows.mapInArrow(write, "archive string, records long, bytes long"), "warc-list")
     _sweep(spark, root, out)
     return out
 
