@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tailspark.llm import exact_dedup, mixing, order_minhash, pieces
 from tailspark.llm import toxicity as tox
-from tailspark.llm.common import delete_path, fresh, save, table, written
+from tailspark.llm.common import delete_path, fresh, save, small_batches, table, written
 
 #: A document is rejected from this score on.
 THRESHOLD = 0.7
@@ -17,7 +17,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below THRESHOLD; the model learns from labelled rows of the table documents."""
     model = tox.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     score = fresh(docs, "_score")
-    return tox.score_toxicity(docs, model, score_col=score).filter(F.col(score) < THRESHOLD).drop(score)
+    with small_batches(spark):
+        return save(tox.score_toxicity(docs, model, score_col=score).filter(F.col(score) < THRESHOLD).drop(score), "clean")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with piece ids and their n best segmentations in place of the text; a text that decoding doesn't give back raises."""
     out = pieces.encode(docs)
     whole = F.when(F.col("decoded_ok"), F.col("piece_ids")).otherwise(F.raise_error(F.lit("a text doesn't survive encoding")).cast("array<int>"))
-    return out.withColumn("piece_ids", whole).drop("text")
+    with small_batches(spark):
+        return save(out.withColumn("piece_ids", whole).drop("text"), "pieces")
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("encoding", encoded)]
