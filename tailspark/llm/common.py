@@ -180,6 +180,10 @@ class TwoGenerations(dict):
         return out
 
 
+#: Edges of a file that a round of components writes, 16 bytes each before compression: no swarm of tiny files.
+FILE_EDGES = 500_000
+
+
 def connected_components(edges: DataFrame, work: Work | None = None) -> DataFrame:
     """Alternating large-star and small-star until nothing changes: (node, component), component the smallest id.
 
@@ -206,7 +210,7 @@ def connected_components(edges: DataFrame, work: Work | None = None) -> DataFram
             break
         seen = tuple(now)
         for large in (True, False):  # each is written, so that plans stay small
-            after = work.save(star(e, large, now[0]).filter("src > dst"), "cc")
+            after = work.save(star(e, large, now[0]).filter("src > dst").coalesce(1 + now[0] // FILE_EDGES), "cc")
             work.remove(e)
             e = after
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
