@@ -16,6 +16,8 @@ from .common import Work, connected_components, few, join_hot, small_batches, wi
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 32, 2
 #: Texts of so many shingles or fewer also get keys that no pair of them at CLOSE can miss.
 SHORT, CLOSE = 40, 0.9
+#: Shingles that are brought into all orders at once.
+SLICE = 2048
 #: Texts, and words of texts, that one task compares (twice as many where two blocks meet).
 BLOCK, WORDS = 1024, 2_000_000
 _MIX = np.random.default_rng(20190703).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,12 +59,22 @@ def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """For each of SKETCHES orders, a hash of the order's number and the PICKED least shingles, read in text order."""
-    picked = min(PICKED, len(h))
-    r, every, at = _scramble(h[None, :] * _MIX[:, None]), np.arange(SKETCHES), np.empty((SKETCHES, picked), np.int64)
-    for i in range(picked):  # least by least: there are few
-        at[:, i] = r.argmin(axis=1)
-        r[every, at[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    """For each of SKETCHES orders, a hash of the order's number and the PICKED least shingles, read in text order.
+
+    Shingles are ordered a slice at a time, so that a very long text needs no table of all its shingles under every order.
+    """
+    picked, every = min(PICKED, len(h)), np.arange(SKETCHES)
+    least, at = [], []
+    for first in range(0, len(h), SLICE):
+        r = _scramble(h[None, first : first + SLICE] * _MIX[:, None])
+        for _ in range(min(picked, r.shape[1])):  # least by least: there are few
+            here = r.argmin(axis=1)
+            least.append(r[every, here])
+            at.append(here + first)
+            r[every, here] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    at = np.stack(at, axis=1)
+    if at.shape[1] > picked:
+        at = np.take_along_axis(at, np.argsort(np.stack(least, axis=1), axis=1, kind="stable")[:, :picked], axis=1)
     at.sort(axis=1)
     out = _MIX + np.uint64(picked)
     for i in range(picked):
