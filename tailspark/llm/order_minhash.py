@@ -18,8 +18,11 @@ K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 64, 2
 SHORT, CLOSE = 40, 0.9
 #: Shingles that are brought into all orders at once.
 SLICE = 2048
-#: Texts, and words of texts, that one task compares (twice as many where two blocks meet).
+#: Texts, and words of texts, that one task aligns with a center.
 BLOCK, WORDS = 1024, 2_000_000
+#: A block of a bucket holds so many times BLOCK texts, and WORDS words (a task twice as many where two blocks meet): rare words
+#: lead a text to its candidates there, so a task's work needs no smaller blocks, and fewer blocks move fewer texts.
+WIDER = 4
 _MIX = np.random.default_rng(20190703).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,23 +201,55 @@ def _star(t: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(sorted(found), pa.int64()), "dst": pa.array([center] * len(found), pa.int64())})
 
 
+def _postings(rank: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in order of their sizes n, whose labelled words (rarest 0) are `rank`: texts by word, for the words that lead to
+    others; where a text's own entries are among them; and where those of each entry's word end.
+
+    Texts that have all but `most` of the longer one's words in common share one of their most + 1 rarest: each leads by those.
+    """
+    row = np.repeat(np.arange(len(n)), n)
+    word = np.sort(row * (int(rank.max()) + 1) + rank) - row * (int(rank.max()) + 1)
+    leads = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(np.floor((1 - SIMILARITY) * n + 1e-9).astype(np.int64), n)
+    word, row = word[leads], row[leads]
+    by = np.argsort(word, kind="stable")
+    end = np.searchsorted(word[by], word[by], "right")
+    return row[by], np.argsort(row[by], kind="stable"), end
+
+
 def _bucket(t: pa.Table) -> pa.Table:
-    """Links between labels of one bucket, or of two blocks of it: pairs that other links join aren't looked at."""
-    order = np.lexsort((t.column("id").to_numpy(), t.column("side").to_numpy()))
-    t = t.take(pa.array(order))
-    side, label = t.column("side").to_numpy(), t.column("label").to_numpy()
+    """Links between labels of one bucket, or of two blocks of it: pairs that other links join aren't looked at.
+
+    Texts are taken by size; a text's candidates are the longer ones of fitting size with which it shares one of its rarest
+    words, or all of fitting size where these words are common.
+    """
     lists, bags = _numbered(t.column("text").to_pylist())
-    names, comp = np.unique(label, return_inverse=True)
     n = np.array([len(x) for x in lists])
-    values, flat = np.unique(np.concatenate(bags), return_inverse=True)
-    start, mark, found = np.r_[0, np.cumsum(n)], np.zeros(len(values), bool), []
-    for x in range(len(lists)):
-        c = np.arange(x + 1, len(lists))
+    order = np.lexsort((t.column("id").to_numpy(), t.column("side").to_numpy(), n))
+    order = order[n[order] > 0]
+    n, lists, bags = n[order], [lists[i] for i in order], [bags[i] for i in order]
+    side, label = t.column("side").to_numpy()[order], t.column("label").to_numpy()[order]
+    comp, found = np.unique(label, return_inverse=True)[1], []
+    if len(n):
+        values, flat, times = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(values))
+        flat = rank[flat]
+        text, own_at, end = _postings(flat, n)
+        leads = np.r_[0, np.cumsum(np.floor((1 - SIMILARITY) * n + 1e-9).astype(np.int64) + 1)]
+        start, mark, common = np.r_[0, np.cumsum(n)], np.zeros(len(values), bool), n - np.floor((1 - SIMILARITY) * n + 1e-9)
+        fits = np.searchsorted(common, n, "right")  # from there on texts are too long
+    for x in range(len(n)):
+        at = own_at[leads[x] : leads[x + 1]]
+        more = end[at] - at - 1
+        if more.sum() < fits[x] - x - 1:
+            first = np.cumsum(more) - more
+            c = np.unique(text[np.repeat(at + 1 - first, more) + np.arange(more.sum())])
+            c = c[c < fits[x]]
+        else:
+            c = np.arange(x + 1, fits[x])
         if side.any():  # blocks a and b: links within a block are found elsewhere
             c = c[side[c] != side[x]]
-        longer = np.maximum(n[c], n[x])
-        common = longer - np.floor((1 - SIMILARITY) * longer + 1e-9)
-        c, common = (v[(comp[c] != comp[x]) & (np.minimum(n[c], n[x]) >= common)] for v in (c, common))
+        c = c[comp[c] != comp[x]]
         if not len(c):
             continue
         own, sizes = flat[start[x] : start[x + 1]], n[c]
@@ -222,13 +257,33 @@ def _bucket(t: pa.Table) -> pa.Table:
         first = np.cumsum(sizes) - sizes
         both = np.add.reduceat(mark[flat[np.repeat(start[c] - first, sizes) + np.arange(sizes.sum())]].astype(np.int64), first)
         mark[own] = False
-        for y in c[both >= common].tolist():
+        for y in c[both >= common[c]].tolist():
             if comp[x] != comp[y] and alike(lists[x], lists[y]):
                 found.append((int(label[x]), int(label[y])))
                 comp[comp == comp[y]] = comp[x]
     return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
 
+def _dealt(labelled: DataFrame, total: int) -> DataFrame:
+    """Rows of buckets, dealt to the tasks that compare them: (value, id, label, a, b, side), a row per block that its own meets.
+
+    labelled: (value, center, id, words, label). Centers aren't dealt, because each was aligned with all of its bucket; nor are
+    buckets whose others have one label, nor all but one of buckets of the same ids (their number and two 64-bit hashes).
+    """
+    others = labelled.filter("id != center").select("value", "id", "words", "label")
+    hashed = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"ids{i}") for i in range(2)]
+    open_ = others.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), _blocks(WIDER * BLOCK).alias("blocks"), F.count(F.lit(1)).alias("rows"), *hashed).filter("low != high")
+    open_ = open_.groupBy("rows", "ids0", "ids1").agg(F.min(F.struct("value", "blocks")).alias("one")).select("one.*", "rows")
+    inside = join_hot(others, open_, "value", total)
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pair = F.explode(
+        F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("a"), F.greatest(x, F.col("own")).alias("b"), (F.col("own") > x).cast("int").alias("side")))
+        )
+    )
+    return inside.select("value", "id", "label", pair.alias("p")).select("value", "id", "label", "p.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id reachable by links), kept (doc_id = class_id), shingles.
 
@@ -245,8 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Plan: one pass makes (id, counts, key, sketches); equal keys collapse, so copies are never paired. The smallest id of each
     bucket is its center; members are aligned with their centers first, in groups of at most BLOCK texts, and the links'
-    components label them. Only buckets that then still hold two labels are compared within, between texts of unlike labels, in
-    blocks (and pairs of blocks) of at most BLOCK texts. Texts that share no bucket never move, if the others' ids are few
+    components label them. Only buckets whose others then still hold two labels are compared within, between texts of unlike
+    labels, in blocks (and pairs of blocks) of at most WIDER * BLOCK texts; of buckets of the same ids, one. Texts that share no bucket never move, if the others' ids are few
     enough to be broadcast; else each text moves once.
     """
     work = Work()
@@ -261,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = work.save(texts.join(few(work.save(member.select("id").distinct(), "omh-ids")), "id", "left_semi"), "omh-texts")
 
     pairs = member.filter("id != center").select("center", "id", "words").distinct()
-    sizes = pairs.groupBy("center").agg(_blocks().alias("salts"))
+    sizes = pairs.groupBy("center").agg(_blocks(BLOCK).alias("salts"))
     leaves = pairs.join(sizes, "center").select("id", "center", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
     roots = sizes.select(F.col("center").alias("id"), "center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
     sent = leaves.unionByName(roots).join(held, "id")
@@ -269,16 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = work.save(sent.groupBy("center", "salt").applyInArrow(_star, "src long, dst long"), "omh-links")
     label = work.save(connected_components(links, work), "omh-labels").withColumnRenamed("node", "id")
 
-    labelled = work.save(member.join(label, "id", "left").select("value", "id", "words", F.coalesce("component", "id").alias("label")), "omh-labelled")
-    open_ = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), _blocks().alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("low != high")
-    inside = join_hot(labelled, open_.select("value", "blocks", "rows"), "value", labelled.count())
-    inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pair = F.explode(
-        F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("a"), F.greatest(x, F.col("own")).alias("b"), (F.col("own") > x).cast("int").alias("side")))
-        )
-    )
-    dealt = inside.select("value", "id", "label", pair.alias("p")).select("value", "id", "label", "p.*").join(held, "id")
+    labelled = work.save(member.join(label, "id", "left").select("value", "center", "id", "words", F.coalesce("component", "id").alias("label")), "omh-labelled")
+    dealt = _dealt(labelled, labelled.count()).join(held, "id")
     with small_batches(docs.sparkSession):
         joined = work.save(dealt.groupBy("value", "a", "b").applyInArrow(_bucket, "src long, dst long"), "omh-joined")
     upper = work.save(connected_components(joined, work), "omh-upper").select(F.col("node").alias("component"), F.col("component").alias("class"))
@@ -291,9 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return work.done(out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.col("n").cast("long").alias("shingles")), "omh")
 
 
-def _blocks():
-    """Blocks of a group, by its rows and their words."""
-    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("words") / WORDS)).cast("int")
+def _blocks(most: int):
+    """Blocks of a group of at most so many rows, by its rows and their words."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("words") / WORDS)).cast("int")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -288,6 +288,45 @@ def test_shared_passages_do_not_link(spark):
     assert all(c == (300 if i == 500 else i) for i, c in out if i != 500) and (500, 300) in out and len(out) == 402
 
 
+def joined(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("vocabulary", [12, 3000])
+def test_bucket_finds_all_links(vocabulary):
+    """One block and two blocks of a bucket against all pairs, by rare words (3000) and where all words are common (12)."""
+    rnd = random.Random(vocabulary)
+    texts = ["", None]
+    for _ in range(25):
+        base = [f"w{rnd.randrange(vocabulary)}" for _ in range(rnd.choice([1, 4, 5, 30, 60]))]
+        texts += [" ".join(changed(rnd, base, rnd.choice([0, 0.1, 0.2, 0.3])) + ["x"] * rnd.choice([0, 0, 1, len(base) // 4])) for _ in range(5)]
+    words = [(t or "").split() for t in texts]
+    for sides in (1, 2):
+        side = [i % sides for i in range(len(texts))]
+        t = pa.table({"id": range(len(texts)), "label": range(len(texts)), "side": pa.array(side, pa.int32()), "text": texts})
+        out = [(r["src"], r["dst"]) for r in omh._bucket(t).to_pylist()]
+        want = [p for p in combinations(range(len(texts)), 2) if (sides == 1 or side[p[0]] != side[p[1]]) and all(words[i] for i in p) and omh.alike(words[p[0]], words[p[1]])]
+        assert want and joined(len(texts), want) == joined(len(texts), out)
+
+
+def test_buckets_deal_rows_once(spark):
+    """A bucket of 3,000 moves each text but its center once (three times before); pairs, which their star has aligned, and
+    buckets of ids that another bucket holds don't move; larger ones are dealt so that any two rows meet."""
+    rows = [(v, 0, i, 100, i) for v in (1, 2) for i in range(3000)] + [(10 + i, i, j, 100, j) for i in range(50) for j in (i, i + 1)]
+    rows += [(3, 0, i, 100, 7) for i in range(1, 9)] + [(4, 0, i, 100, i) for i in (0, 1, 2)] + [(5, 0, i, 100_000, i) for i in range(50)]
+    labelled = spark.createDataFrame(rows, "value long, center long, id long, words int, label long")
+    dealt = omh._dealt(labelled, len(rows)).collect()
+    assert Counter(r.value for r in dealt) == {1: 2999, 4: 2, 5: 49 * 3}
+    tasks = {}
+    for r in (r for r in dealt if r.value == 5):
+        tasks.setdefault((r.a, r.b), []).append(r)
+    met = {frozenset((x.id, y.id)) for t in tasks.values() for x, y in combinations(t, 2) if x.side != y.side or not any(r.side for r in t)}
+    assert len(met) == 49 * 48 // 2
+
+
 def test_word_hashes_have_64_bits():
     hashes = [omh._word(f"{i:08x}") for i in random.Random(4).sample(range(16**8), 2000)]
     assert len({h >> 32 ^ h & 0xFFFFFFFF for h in hashes}) > 1990  # two CRCs of words of one length differ by a constant
